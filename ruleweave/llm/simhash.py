@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ruleweave.llm.common import flat_map, materialize, mix64, raw_words, read
+from ruleweave.llm.common import flat_map, materialize, mix64, raw_words, read, spread
 from ruleweave.llm.components import connected_components
 
 SHINGLE = 3
@@ -71,7 +71,7 @@ def _keys() -> Column:
     for g in range(GROUPS):
         own = list(range(len(BLOCK_PIVOTS)))[g::GROUPS]
         differences = F.array(*[F.col("blocks")[i + 1] - F.col("blocks")[0] for i in own])
-        signs.append(F.array_join(differences, ","))
+        signs.append(F.xxhash64(differences))
     return F.array(*[F.xxhash64(F.lit(k), *[signs[g] for g in c]) for k, c in enumerate(combinations(range(GROUPS), GROUPS - RADIUS))])
 
 
@@ -86,7 +86,7 @@ def close_pairs(nodes: DataFrame) -> DataFrame:
     to the 65 points within one bit of it, and two fingerprints are within two bits exactly if they share such a point.
     There the links go to the smallest fingerprint of a point, which keeps the components and the row count linear.
     """
-    keyed = pivot_table(nodes.select("fp")).select("fp", "far", "blocks", F.explode(_keys()).alias("key")).select("fp", "far", "key")
+    keyed = pivot_table(spread(nodes.select("fp"), "fp")).select("fp", "far", "blocks", F.explode(_keys()).alias("key")).select("fp", "far", "key")
     keyed = materialize(keyed, "pivot-keys")
     sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     shared = materialize(keyed.join(sizes, "key"), "pivot-shared")
