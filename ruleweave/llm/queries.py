@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+from ruleweave.llm import mixing, url_filter
+from ruleweave.llm.mixing import op10_mixing
 from ruleweave.llm.simhash import op8_simhash_near_dedup
+from ruleweave.llm.url_filter import op2_url_filters
 
 QUERIES = {
+    "op2_url_filters": op2_url_filters,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
+    "op10_mixing": op10_mixing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_url_filters": url_filter.ORACLE,
+    "op10_mixing": mixing.ORACLE,
+}
