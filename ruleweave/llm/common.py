@@ -27,7 +27,7 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+def materialize(df: DataFrame, label: str, compression: str = "zstd") -> DataFrame:
     """Writes df as Parquet into the shared folder and reads it again.
 
     This cuts the lineage: a lost executor costs its running tasks only. Shuffle files of the finished
@@ -39,7 +39,7 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     before = spark.conf.get(key, None)
     spark.conf.set(key, "true")
     try:
-        df.write.parquet(path)
+        df.write.parquet(path, compression=compression)
     finally:
         spark.conf.unset(key) if before is None else spark.conf.set(key, before)
     return spark.read.schema(df.schema).parquet(path)
