@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from ruleweave.llm import mixing, url_filter
+from ruleweave.llm.decontaminate import op6_decontamination
+from ruleweave.llm.language import op1_language_id
 from ruleweave.llm.media import op7_media_columns
 from ruleweave.llm.mixing import op10_mixing
 from ruleweave.llm.simhash import op8_simhash_near_dedup
@@ -10,8 +12,10 @@ from ruleweave.llm.url_filter import op2_url_filters
 from ruleweave.llm.wavelet import op3_token_output
 
 QUERIES = {
+    "op1_language_id": op1_language_id,
     "op2_url_filters": op2_url_filters,
     "op3_token_output": op3_token_output,
+    "op6_decontamination": op6_decontamination,
     "op7_media_columns": op7_media_columns,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op10_mixing": op10_mixing,
