@@ -45,7 +45,7 @@ def uniform(key: Column, seed: str) -> Column:
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, seed: str = "mix-", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """(doc_id, source, size, source_size, target, copies, taken): how often the mix takes each document.
+    """(doc_id, source, tie, size, source_size, target, copies, taken): how often the mix takes each document.
 
     Every document of a source is expected target / source_size times. The whole part are certain copies. For the rest,
     documents are ranked by Pareto order sampling: random odds u / (1 - u) divided by inclusion odds p / (1 - p), and
@@ -96,7 +96,27 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
     inside_end = (F.col("step") == F.col("end_step")) & ((F.col("fine") < F.col("end_fine")) | ((F.col("fine") == F.col("end_fine")) & F.coalesce(key <= F.col("upto"), F.lit(False))))
     more = F.coalesce((F.col("left") > 0) & (F.col("size") > 0) & ((F.col("step") < F.col("end_step")) | inside_end), F.lit(False))
     out = ranked.join(ends, F.col("source").eqNullSafe(F.col("s")), "left").withColumn("copies", F.when(F.col("size") > 0, F.col("copies") + more.cast("long")).otherwise(F.lit(0)))
-    return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return out.select("doc_id", "source", "tie", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """docs with each row as often as mix() takes it; rows without words are never taken.
+
+    The copies are found per id, source and text, so equal rows share their copies evenly, the first ones one more.
+    Texts never go through a shuffle by source: the small table of copies meets the rows by id.
+    """
+    counts = materialize(mix(docs, id_col=id_col, text_col=text_col, source_col=source_col).where("copies > 0"), "mix-copies")
+    times = counts.groupBy("doc_id", "source", "tie").agg(F.sum("copies").alias("sum"))
+    row = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.xxhash64(F.col(text_col)).alias("tie"))
+    right = times.select(F.coalesce("doc_id", F.lit(-1)).alias("k"), F.col("doc_id").alias("d"), F.col("source").alias("s"), F.col("tie").alias("t"), "sum")
+    # k stands for the id in the equality that deals the rows; the other columns are compared null-safely.
+    same = (F.coalesce(F.col("doc_id"), F.lit(-1)) == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("d")) & F.col("source").eqNullSafe(F.col("s")) & (F.col("tie") == F.col("t"))
+    taken = row.join(right, same)
+    equal = W.partitionBy("k", "doc_id", "source", "tie")
+    n, i = F.count("*").over(equal), F.row_number().over(equal.orderBy("tie")) - 1
+    taken = taken.withColumn("n", n).withColumn("i", i)
+    times = (F.floor(F.col("sum") / F.col("n")) + F.when(F.col("i") < F.col("sum") % F.col("n"), 1).otherwise(0)).cast("int")
+    return taken.select("row", F.explode(F.array_repeat(F.lit(0), times)).alias("copy")).select("row.*")
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

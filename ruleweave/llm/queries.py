@@ -7,6 +7,7 @@ from ruleweave.llm.decontaminate import op6_decontamination
 from ruleweave.llm.language import op1_language_id
 from ruleweave.llm.media import op7_media_columns
 from ruleweave.llm.mixing import op10_mixing
+from ruleweave.llm.quality import op9_quality_classifier
 from ruleweave.llm.simhash import op8_simhash_near_dedup
 from ruleweave.llm.url_filter import op2_url_filters
 from ruleweave.llm.wavelet import op3_token_output
@@ -18,6 +19,7 @@ QUERIES = {
     "op6_decontamination": op6_decontamination,
     "op7_media_columns": op7_media_columns,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
+    "op9_quality_classifier": op9_quality_classifier,
     "op10_mixing": op10_mixing,
 }
 
