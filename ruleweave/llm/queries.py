@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from ruleweave.llm import mixing, url_filter
 from ruleweave.llm.decontaminate import op6_decontamination
+from ruleweave.llm.html_text import op5_html_extraction
 from ruleweave.llm.language import op1_language_id
 from ruleweave.llm.media import op7_media_columns
 from ruleweave.llm.mixing import op10_mixing
@@ -16,6 +17,7 @@ QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_url_filters": op2_url_filters,
     "op3_token_output": op3_token_output,
+    "op5_html_extraction": op5_html_extraction,
     "op6_decontamination": op6_decontamination,
     "op7_media_columns": op7_media_columns,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
