@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -22,8 +23,11 @@ SHARD_TOKENS = 1 << 20
 BLOCK = 512
 END_ID = 1
 #: Encoded words that a task keeps at most.
-MEMO = 400_000
+MEMO = 500_000
 SEPARATOR = "<|startoftext|>"
+#: Letters of which neither normal forms nor lower-casing make anything but one letter.
+LEAD = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]*")
+ENCODERS: dict[str, WordEncoder] = {}
 
 SHARD = "shard_part int, shard_seq int, n_tokens long, width int, zeros array<int>, planes binary, ranks binary, doc_ids array<long>, ends array<long>"
 
@@ -123,9 +127,9 @@ class WaveletMatrix:
 class WordEncoder:
     """Encodes whole texts with a tokenizer that never joins characters across a blank or a line feed.
 
-    The texts' words are encoded once each and kept (at most MEMO of them), so that frequent words cost a look-up;
-    tests hold the result against encoding the text as a whole. New words go to the tokenizer together, parted by a
-    special token of it; a word that itself holds that token's text goes alone.
+    The texts' words are encoded once each and kept (in two generations of at most MEMO), so that frequent words cost a
+    look-up; tests hold the result against encoding texts as a whole. New words go to the tokenizer together: their
+    leading plain letters parted by blanks, where the vocabulary marks word ends, anything else parted by a special token.
     """
 
     def __init__(self, path: str):
@@ -135,33 +139,80 @@ class WordEncoder:
         self.width = max(1, (self.tokenizer.get_vocab_size() - 1).bit_length())
         self.kind = np.uint16 if self.width <= 16 else np.uint32
         self.separator = self.tokenizer.token_to_id(SEPARATOR)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.marks_ends = bool(self.ends.any())
         self.memo: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    @classmethod
+    def of(cls, path: str) -> WordEncoder:
+        """The encoder that the tasks of one worker process share."""
+        if path not in ENCODERS:
+            ENCODERS[path] = cls(path)
+        return ENCODERS[path]
 
     def _encode(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=self.kind)
 
+    def _keep(self, words: list[str], ids: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
+        size, raw = ids.itemsize, ids.tobytes()
+        self.memo.update((w, raw[a:b]) for w, a, b in zip(words, (starts * size).tolist(), (ends * size).tolist(), strict=True))
+
+    def _known(self, word: str) -> bool:
+        if word in self.memo:
+            return True
+        found = self.older.get(word)
+        if found is not None:
+            self.memo[word] = found
+        return found is not None
+
     def learn(self, words: set[str]) -> None:
+        new, rests, parts, lead_end = [w for w in words if not self._known(w)], set(), [], LEAD.match
+        for w in new:
+            n = lead_end(w).end() if self.marks_ends else 0
+            if n and (n == len(w) or w[n] < "\x80"):
+                parts.append((w, w[:n].lower(), w[n:]))
+            else:
+                rests.add(w)
+        self._learn_leads([w for w in {lead for _, lead, _ in parts} if not self._known(w)])
+        self._learn_apart([w for w in rests.union(rest for _, _, rest in parts) if not self._known(w)])
+        self.memo.update([(w, self.memo[lead] + self.memo[rest]) for w, lead, rest in parts])
+
+    def _learn_leads(self, words: list[str]) -> None:
+        """Words of plain letters, each of which ends with the only word end of its ids."""
+        for at in range(0, len(words), 5000):
+            part = words[at : at + 5000]
+            ids = self._encode(" ".join(part))
+            ends = np.nonzero(self.ends[ids])[0] + 1
+            if len(ends) == len(part):
+                self._keep(part, ids, np.concatenate([[0], ends[:-1]]), ends)
+            else:
+                self._learn_apart(part)
+
+    def _learn_apart(self, words: list[str]) -> None:
         alone = [w for w in words if self.separator is None or SEPARATOR[:1] in w]
         self.memo.update((w, self._encode(w).tobytes()) for w in alone)
-        rest = list(words.difference(alone))
-        for at in range(0, len(rest), 20_000):
-            part = rest[at : at + 20_000]
+        rest = list(set(words).difference(alone))
+        for at in range(0, len(rest), 5000):
+            part = rest[at : at + 5000]
             ids = self._encode(SEPARATOR.join(part))
             cuts = np.nonzero(ids == self.separator)[0]
-            size, raw = ids.itemsize, ids.tobytes()
-            ends = np.concatenate([cuts, [len(ids)]]) * size
-            starts = np.concatenate([[0], (cuts + 1) * size])
-            self.memo.update((w, raw[a:b]) for w, a, b in zip(part, starts.tolist(), ends.tolist(), strict=True))
+            self._keep(part, ids, np.concatenate([[0], cuts + 1]), np.concatenate([cuts, [len(ids)]]))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as bytes."""
-        split = [t.replace("\n", " ").split(" ") if t else [] for t in texts]
         if len(self.memo) > MEMO:
-            self.memo = {}
-        new = set().union(*split).difference(self.memo) if split else set()
-        self.learn(new)
-        get = self.memo.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+            self.memo, self.older = {}, self.memo
+        split = [t.replace("\n", " ").split(" ") if t else [] for t in texts]
+        found = [list(map(self.memo.get, words)) for words in split]
+        holes = [[i for i, ids in enumerate(ids_of) if ids is None] for ids_of in found]
+        self.learn({words[i] for words, own in zip(split, holes, strict=True) for i in own})
+        for words, ids_of, own in zip(split, found, holes, strict=True):
+            for i in own:
+                ids_of[i] = self.memo[words[i]]
+        return [b"".join(ids_of) for ids_of in found]
 
 
 def encode_shards(docs: DataFrame, tokenizer: str, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -177,7 +228,7 @@ def encode_shards(docs: DataFrame, tokenizer: str, end_id: int = END_ID, id_col:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder = WordEncoder(tokenizer)
+        encoder = WordEncoder.of(tokenizer)
         end = np.array([end_id], dtype=encoder.kind).tobytes()
         part, seq, ids, doc_ids, ends, size = TaskContext.get().partitionId(), 0, [], [], [], 0
 
