@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from dataclasses import dataclass
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ruleweave.llm.common import materialize, mix64, read
+from ruleweave.llm.common import drop_tables, materialize, mix64, read
 
 ORDER = 5
 #: Every tenth trusted document is kept out of the counts and sets the thresholds instead.
@@ -22,6 +25,14 @@ SHARD_ENTRIES = 4_000_000
 START = "\x02" * (ORDER - 1)
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 PIECE = 1 << 17
+#: A word that its follower repeats, which becomes one mark. A mark is scored by the lowest order alone, where it is rare:
+#: a history would let a long run of repetitions predict itself.
+REPEATED, MARK = re.compile(r"(?<!\S)(\S+)(?=\s+\1(?!\S))"), "\x04"
+
+
+def marked(text: str) -> str:
+    words = text.split()
+    return REPEATED.sub(MARK, text) if any(map(eq, words, words[1:])) else text
 
 
 def codes(text: str) -> np.ndarray:
@@ -77,7 +88,7 @@ def gram_counts(texts: DataFrame) -> DataFrame:
         for batch in batches:
             by_lang: dict[str, list[str]] = {}
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                by_lang.setdefault(lang, []).append(START + text)
+                by_lang.setdefault(lang, []).append(START + marked(text))
             for lang, texts in by_lang.items():
                 table = held.setdefault(lang, {})
                 while texts:
@@ -125,6 +136,7 @@ def model_table(counts: DataFrame) -> DataFrame:
         levels[n] = materialize(levels[n + 1].groupBy("lang", F.substring("gram", 2, n).alias("gram")).agg(F.count("*").alias("c")), "grams")
     base = levels[1].groupBy("lang").agg((1 / (F.count("*") + 1)).alias("low"))
     out, lower = [base.select("lang", F.lit("u").alias("kind"), F.lit(0).alias("n"), F.lit("").alias("gram"), F.log("low").alias("value"))], None
+    orders: list[DataFrame] = []
     for n in range(1, ORDER + 1):
         d = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
         level = levels[n].join(F.broadcast(_discounts(levels[n])), "lang")  # a row for each language
@@ -133,12 +145,15 @@ def model_table(counts: DataFrame) -> DataFrame:
         level = level.join(history, ["lang", "h"])
         level = level.join(F.broadcast(base), "lang") if n == 1 else level.join(lower.select("lang", F.col("gram").alias("short"), F.col("p").alias("low")), ["lang", "short"])
         lower = materialize(level.select("lang", "gram", ((F.col("c") - F.col("d")) / F.col("all") + F.col("b") * F.col("low")).alias("p")), "probabilities")
+        orders.append(lower)
         out.append(lower.select("lang", F.lit("p").alias("kind"), F.lit(n).alias("n"), "gram", F.log("p").alias("value")))
         out.append(history.select("lang", F.lit("b").alias("kind"), F.lit(n - 1).alias("n"), F.col("h").alias("gram"), F.log("b").alias("value")))
     table = out[0]
     for part in out[1:]:
         table = table.unionByName(part)
-    return materialize(table, "language-model")
+    table = materialize(table, "language-model")
+    drop_tables(*levels.values(), *orders)
+    return table
 
 
 class Table:
@@ -183,21 +198,44 @@ def shard_of(before: np.ndarray, shards: int) -> np.ndarray:
 
 def keyed(table: DataFrame, shards: int) -> DataFrame:
     """(shard, key, value): the model with a 64-bit number for each entry; shard -1 belongs to all shards."""
+    offset = {"p": 0, "b": 100, "u": 200}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, shard = [], []
-            for lang, kind, n, gram in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                c = codes(gram)
-                h = gram_keys(c, n)[0] if n else np.uint64(0)
-                keys.append(mix64(np.array([h], np.uint64) ^ salt(lang, n + {"p": 0, "b": 100, "u": 200}[kind]))[0] | np.uint64(1))
-                last = c[n - 2 : n - 1] if kind == "p" else c[n - 1 :]
-                shard.append(int(shard_of(last, shards)[0]) if len(last) and (kind == "b" or n > 1) else -1)
-            yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), pa.array(np.array(keys, dtype=np.uint64).view(np.int64)), batch.column(4).cast(pa.float32())], ["shard", "key", "value"])
+            frame = batch.to_pandas()
+            for (lang, kind, n), rows in frame.groupby(["lang", "kind", "n"], sort=False):
+                c = codes("".join(rows["gram"])).reshape(len(rows), n)
+                h = np.zeros(len(rows), dtype=np.uint64)
+                for j in range(n):
+                    h = h * MULTIPLIER + (c[:, j].astype(np.uint64) + np.uint64(1))
+                keys = mix64(h ^ salt(lang, n + offset[kind])) | np.uint64(1)
+                # A character's shard is that of the code before it: the last but one of a gram, the last of a history.
+                last = n - 2 if kind == "p" else n - 1
+                shard = shard_of(c[:, last], shards).astype(np.int32) if last >= 0 and kind != "u" else np.full(len(rows), -1, np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(keys.view(np.int64)), pa.array(rows["value"].to_numpy(np.float32))], ["shard", "key", "value"])
 
     return table.select("lang", "kind", "n", "gram", "value").mapInArrow(run, "shard int, key long, value float")
 
 
+@dataclass(frozen=True)
+class Model:
+    """A model's languages, and its entries in shards of a bounded size."""
+
+    langs: frozenset[str]
+    shards: int
+    entries: DataFrame
+
+
+def train(texts: DataFrame) -> Model:
+    """The model of (lang, text) rows."""
+    table = model_table(gram_counts(texts))
+    langs = frozenset(r["lang"] for r in table.where("kind = 'u'").select("lang").collect())
+    shards = max(1, -(-table.count() // SHARD_ENTRIES))
+    entries = materialize(keyed(table, shards), "keyed-model")
+    drop_tables(table)
+    return Model(langs, shards, entries)
+
+
 def log_likelihood(table: Table, text: str, lang: str, shard: int = 0, shards: int = 1) -> float:
     """Sum of the log probabilities of a text's characters (those that belong to the shard)."""
     total, padded = 0.0, START + text
@@ -209,12 +247,15 @@ def log_likelihood(table: Table, text: str, lang: str, shard: int = 0, shards: i
         left = np.arange(m)
         if shards > 1:
             left = left[shard_of(c[ORDER - 2 : ORDER - 2 + m], shards) == shard]
+        runs = left[c[left + ORDER - 1] == ord(MARK)]
+        left = left[c[left + ORDER - 1] != ord(MARK)]
         for n in range(ORDER, 0, -1):
+            left = np.concatenate([left, runs]) if n == 1 else left
             keys = gram_keys(c[ORDER - n :], n)[left]
             found, value = table.get(mix64(keys ^ salt(lang, n)) | one)
             total += float(value[found].sum(dtype=np.float64))
             left = left[~found]
-            if not len(left):
+            if not len(left) and not len(runs):
                 break
             history = gram_keys(c[ORDER - n : -1], n - 1)[left] if n > 1 else np.zeros(len(left), np.uint64)
             found, value = table.get(mix64(history ^ salt(lang, n + 99)) | one)
@@ -223,34 +264,31 @@ def log_likelihood(table: Table, text: str, lang: str, shard: int = 0, shards: i
     return total
 
 
-def score(rows: DataFrame, model: DataFrame) -> DataFrame:
-    """rows (row struct, text, lang) with nll added: the mean negative log probability of a character, null for empty texts
-    and for languages without trusted text.
+def score(rows: DataFrame, model: Model) -> DataFrame:
+    """rows (with text and lang) with nll added: the mean negative log probability of a character, null for empty texts and for
+    languages without trusted text.
 
     The model is broadcast in shards of a bounded number of entries; with more than one, each is a pass over the rows.
     """
-    spark = rows.sparkSession
-    langs = frozenset(r["lang"] for r in model.where("kind = 'u'").select("lang").collect())
-    shards = max(1, -(-model.count() // SHARD_ENTRIES))
-    entries = materialize(keyed(model, shards), "keyed-model")
-    kinds = rows.schema
-    scored = rows.withColumn("total", F.lit(0.0))
+    langs, shards = model.langs, model.shards
+    scored = rows.withColumn("chars", F.lit(0)).withColumn("total", F.lit(0.0))
     schema = scored.schema
     for shard in range(shards):
-        own = entries.where(F.col("shard").isin(-1, shard)).select("key", "value").toArrow()
-        shared = spark.sparkContext.broadcast(Table(own["key"].to_numpy().view(np.uint64), own["value"].to_numpy()))
+        own = model.entries.where(F.col("shard").isin(-1, shard)).select("key", "value").toArrow()
+        shared = rows.sparkSession.sparkContext.broadcast(Table(own["key"].to_numpy().view(np.uint64), own["value"].to_numpy()))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared, shard=shard) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 texts, tongues, totals = (batch.column(batch.schema.get_field_index(n)) for n in ("text", "lang", "total"))
-                new = [
-                    None if total is None or not text or lang not in langs else total + log_likelihood(shared.value, text, lang, shard, shards)
-                    for text, lang, total in zip((t.as_py() for t in texts), tongues.to_pylist(), totals.to_pylist(), strict=True)
-                ]
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(new, pa.float64())], names=batch.schema.names)
+                new, chars = [], []
+                for text, lang, total in zip(texts, tongues.to_pylist(), (t or 0.0 for t in totals.to_pylist()), strict=True):
+                    seen = marked(text.as_py() or "") if lang in langs else ""
+                    chars.append(len(seen))
+                    new.append(total + log_likelihood(shared.value, seen, lang, shard, shards) if seen else None)
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(chars, pa.int32()), pa.array(new, pa.float64())], names=batch.schema.names)
 
         scored = scored.mapInArrow(run, schema)
-    return scored.select(*[F.col(f.name) for f in kinds], (-F.col("total") / F.char_length("text")).alias("nll"))
+    return scored.select(*rows.columns, F.try_divide(-F.col("total"), F.col("chars")).alias("nll"))
 
 
 def band(text: Column) -> Column:
@@ -275,8 +313,9 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     without any trusted document everything is kept; an empty table gives an empty result.
     """
     trusted = trusted_documents(docs, labels, id_col, text_col, lang_col)
-    model = model_table(gram_counts(trusted.where("not held_out")))
+    model = train(trusted.where("not held_out"))
     limits = materialize(thresholds(score(trusted.where("held_out").select("lang", "text"), model)), "quality-thresholds")
+    drop_tables(trusted)
     rows = docs.select(F.struct("*").alias("row"), F.col(text_col).cast("string").alias("text"), F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"))
     scored = score(rows, model).withColumn("band", band(F.col("text"))).drop("text")
     own = limits.where("band >= 0").withColumnRenamed("threshold", "own")
