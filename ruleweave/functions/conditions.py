@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from ruleweave.sources.entities import EntityView
 
-#: Days of the units of durations; these count a month as 30 and a year as 365 days.
-DAYS = {"day": 1, "days": 1, "week": 7, "weeks": 7, "month": 30, "months": 30, "year": 365, "years": 365}
+#: Days of the units of durations; a month counts as 30 and a year as 365 days, an unknown unit as days.
+DAYS = {"second": 1 / 86400, "seconds": 1 / 86400, "minute": 1 / 1440, "minutes": 1 / 1440, "hour": 1 / 24, "hours": 1 / 24, "day": 1, "days": 1, "week": 7, "weeks": 7, "month": 30, "months": 30, "year": 365, "years": 365}
 
 
 @dataclass(frozen=True)
