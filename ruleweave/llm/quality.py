@@ -9,8 +9,10 @@ from operator import eq
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ruleweave.llm.common import drop_tables, materialize, mix64, read
 
@@ -217,13 +219,24 @@ def keyed(table: DataFrame, shards: int) -> DataFrame:
     return table.select("lang", "kind", "n", "gram", "value").mapInArrow(run, "shard int, key long, value float")
 
 
+class Entries:
+    """A shard's keys and values as they are broadcast; the table over them is built once in each worker process."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.keys, self.values, self.built = keys, values, None
+
+    def table(self) -> Table:
+        if self.built is None:
+            self.built, self.keys, self.values = Table(self.keys, self.values), None, None
+        return self.built
+
+
 @dataclass(frozen=True)
 class Model:
-    """A model's languages, and its entries in shards of a bounded size."""
+    """A model's languages, and the broadcasts of its entries in shards of a bounded size."""
 
     langs: frozenset[str]
-    shards: int
-    entries: DataFrame
+    shards: list[Broadcast]
 
 
 def train(texts: DataFrame) -> Model:
@@ -233,7 +246,14 @@ def train(texts: DataFrame) -> Model:
     shards = max(1, -(-table.count() // SHARD_ENTRIES))
     entries = materialize(keyed(table, shards), "keyed-model")
     drop_tables(table)
-    return Model(langs, shards, entries)
+    found = []
+    for shard in range(shards):
+        own = entries.where(F.col("shard").isin(-1, shard)).select("key", "value").toArrow()
+        found.append(texts.sparkSession.sparkContext.broadcast(Entries(own["key"].to_numpy().view(np.uint64), own["value"].to_numpy())))
+        del own
+        pa.default_memory_pool().release_unused()
+    drop_tables(entries)
+    return Model(langs, found)
 
 
 def log_likelihood(table: Table, text: str, lang: str, shard: int = 0, shards: int = 1) -> float:
@@ -268,14 +288,12 @@ def score(rows: DataFrame, model: Model) -> DataFrame:
     """rows (with text and lang) with nll added: the mean negative log probability of a character, null for empty texts and for
     languages without trusted text.
 
-    The model is broadcast in shards of a bounded number of entries; with more than one, each is a pass over the rows.
+    With more than one shard each is a further step over the same rows, none of which needs a shuffle.
     """
-    langs, shards = model.langs, model.shards
+    langs, shards = model.langs, len(model.shards)
     scored = rows.withColumn("chars", F.lit(0)).withColumn("total", F.lit(0.0))
-    schema = scored.schema
-    for shard in range(shards):
-        own = model.entries.where(F.col("shard").isin(-1, shard)).select("key", "value").toArrow()
-        shared = rows.sparkSession.sparkContext.broadcast(Table(own["key"].to_numpy().view(np.uint64), own["value"].to_numpy()))
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in scored.schema])
+    for shard, shared in enumerate(model.shards):
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared, shard=shard) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -284,7 +302,7 @@ def score(rows: DataFrame, model: Model) -> DataFrame:
                 for text, lang, total in zip(texts, tongues.to_pylist(), (t or 0.0 for t in totals.to_pylist()), strict=True):
                     seen = marked(text.as_py() or "") if lang in langs else ""
                     chars.append(len(seen))
-                    new.append(total + log_likelihood(shared.value, seen, lang, shard, shards) if seen else None)
+                    new.append(total + log_likelihood(shared.value.table(), seen, lang, shard, shards) if seen else None)
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(chars, pa.int32()), pa.array(new, pa.float64())], names=batch.schema.names)
 
         scored = scored.mapInArrow(run, schema)
