@@ -48,7 +48,7 @@ class Model:
                 row = table[gram] = len(orders)
                 orders.append(n)
             cells.append((row, at[lang], count))
-        size = np.array([[totals.get((lang, n), 0) for lang in langs] for n in range(max(ORDERS) + 1)], dtype=float).reshape(-1, len(langs))
+        size = np.array([[totals.get((lang, n), 0) for lang in langs] for n in range(max(ORDERS) + 1)], dtype=float).reshape(max(ORDERS) + 1, len(langs))
         counts = np.full((len(orders), len(langs)), 0.5)
         for row, lang, count in cells:
             counts[row, lang] += count
