@@ -12,6 +12,8 @@ from ruleweave.llm.common import materialize, n_words, read
 WEIGHTS, SHARE, MOST = (5.0, 2.0, 1.0), 1.5, 2.0
 #: Steps into which the ranks between 0 and 1 are cut, twice, before single documents are ordered.
 STEPS = 4096
+#: Sources up to which tables of sources are broadcast (some 100 bytes each).
+SOURCES = 50_000
 
 
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
@@ -65,8 +67,11 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
     targets = materialize(source_targets(base, weights, share, most), "mix-targets")
     chance = targets.withColumn("copies", F.coalesce(F.floor(F.try_divide("target", F.col("source_size"))), F.lit(0)).cast("long"))
     chance = chance.withColumn("left", F.col("target") - F.col("copies") * F.col("source_size")).withColumn("p", F.try_divide(F.col("left"), F.col("source_size")))
-    # Sources that are null meet by the null-safe comparison; the table of sources is small, and Spark decides on its size.
-    chance = chance.withColumnRenamed("source", "s")
+    # Tables with a row for each source are broadcast if they are counted to be few, so that no task gets a whole source;
+    # more sources meet their rows in joins by source, of which Spark splits the large ones.
+    small = F.broadcast if targets.count() <= SOURCES else (lambda df: df)
+    # Sources that are null meet by the null-safe comparison.
+    chance = small(chance.withColumnRenamed("source", "s"))
     u = uniform(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), seed)
     ranked = base.join(chance, F.col("source").eqNullSafe(F.col("s"))).drop("s")
     ranked = ranked.withColumn("u", u).withColumn("q", F.try_divide(F.try_divide(F.col("u"), 1 - F.col("u")), F.try_divide(F.col("p"), 1 - F.col("p"))))
@@ -83,9 +88,9 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
         return first.select(F.col("source").alias("s"), F.col(f"e.{cut}").alias(f"end_{cut}"), F.col("e.before").alias(f"before_{cut}"))
 
     some = ranked.where("left > 0 and size > 0")
-    coarse = materialize(end(some, "step", [], F.lit(0)), "mix-steps")
+    coarse = small(materialize(end(some, "step", [], F.lit(0)), "mix-steps"))
     inside = some.join(coarse, F.col("source").eqNullSafe(F.col("s"))).drop("s").where("step = end_step")
-    finer = materialize(end(inside, "fine", ["step"], F.col("before_step")), "mix-fine-steps")
+    finer = small(materialize(end(inside, "fine", ["step"], F.col("before_step")), "mix-fine-steps"))
     last = inside.join(finer, F.col("source").eqNullSafe(F.col("s"))).drop("s").where("fine = end_fine")
     order = W.partitionBy("source").orderBy("q", F.col("doc_id").asc_nulls_last(), "tie").rowsBetween(W.unboundedPreceding, W.currentRow)
     last = last.withColumn("middle", F.col("before_fine") + F.sum("size").over(order) - F.col("size") / 2).where("middle <= left")
@@ -95,7 +100,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
     key = F.struct("q", F.col("doc_id").isNull().alias("no_id"), "doc_id", "tie")
     inside_end = (F.col("step") == F.col("end_step")) & ((F.col("fine") < F.col("end_fine")) | ((F.col("fine") == F.col("end_fine")) & F.coalesce(key <= F.col("upto"), F.lit(False))))
     more = F.coalesce((F.col("left") > 0) & (F.col("size") > 0) & ((F.col("step") < F.col("end_step")) | inside_end), F.lit(False))
-    out = ranked.join(ends, F.col("source").eqNullSafe(F.col("s")), "left").withColumn("copies", F.when(F.col("size") > 0, F.col("copies") + more.cast("long")).otherwise(F.lit(0)))
+    out = ranked.join(small(ends), F.col("source").eqNullSafe(F.col("s")), "left").withColumn("copies", F.when(F.col("size") > 0, F.col("copies") + more.cast("long")).otherwise(F.lit(0)))
     return out.select("doc_id", "source", "tie", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
