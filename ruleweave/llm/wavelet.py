@@ -43,15 +43,17 @@ class WaveletMatrix:
 
     @classmethod
     def build(cls, ids: np.ndarray, width: int) -> WaveletMatrix:
-        n, size = len(ids), -(-max(len(ids), 1) // BLOCK) * (BLOCK // 8)
+        size = -(-max(len(ids), 1) // BLOCK) * (BLOCK // 8)
         planes, zeros = np.zeros((width, size), dtype=np.uint8), np.zeros(width, dtype=np.int32)
+        n, spare = len(ids), np.empty_like(ids)
         for level in range(width):
-            ones = (ids & ids.dtype.type(1 << (width - 1 - level))) != 0
+            ones = ((ids >> (width - 1 - level)) & 1).astype(bool)
             packed = np.packbits(ones, bitorder="little")
             planes[level, : len(packed)] = packed
-            below = ids[~ones]
-            zeros[level] = len(below)
-            ids = np.concatenate([below, ids[ones]])
+            z = zeros[level] = n - np.count_nonzero(ones)
+            np.compress(~ones, ids, out=spare[:z])
+            np.compress(ones, ids, out=spare[z:])
+            ids, spare = spare, ids if level else np.empty_like(ids)  # the caller's array stays
         return cls(n, zeros, planes, cls.directory(planes))
 
     @staticmethod
@@ -118,8 +120,9 @@ class WaveletMatrix:
         for level in reversed(range(width)):
             ones = np.unpackbits(self.planes[level], count=self.n, bitorder="little").view(bool)
             z, at = int(self.zeros[level]), np.empty(self.n, dtype=kind)
-            at[~ones] = out[:z]
-            at[ones] = out[z:] | kind(1 << (width - 1 - level))
+            out[z:] |= kind(1 << (width - 1 - level))
+            at[np.flatnonzero(~ones)] = out[:z]
+            at[np.flatnonzero(ones)] = out[z:]
             out = at
         return out
 
@@ -142,6 +145,7 @@ class WordEncoder:
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.lowers = self._encode("A").tolist() == self._encode("a").tolist()
         self.marks_ends = bool(self.ends.any())
         self.memo: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
@@ -201,11 +205,17 @@ class WordEncoder:
             cuts = np.nonzero(ids == self.separator)[0]
             self._keep(part, ids, np.concatenate([[0], cuts + 1]), np.concatenate([cuts, [len(ids)]]))
 
+    def _plain(self, text: str) -> str:
+        """The text with A-Z in lower case, if the tokenizer makes no difference, so that fewer words are different."""
+        if not self.lowers or "<|" in text:  # special tokens are told apart by case
+            return text
+        return text.lower() if text.isascii() else text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as bytes."""
         if len(self.memo) > MEMO:
             self.memo, self.older = {}, self.memo
-        split = [t.replace("\n", " ").split(" ") if t else [] for t in texts]
+        split = [self._plain(t).replace("\n", " ").split(" ") if t else [] for t in texts]
         found = [list(map(self.memo.get, words)) for words in split]
         holes = [[i for i, ids in enumerate(ids_of) if ids is None] for ids_of in found]
         self.learn({words[i] for words, own in zip(split, holes, strict=True) for i in own})
