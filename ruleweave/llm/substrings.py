@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ruleweave.llm.common import flat_map, materialize, mix64, raw_words, read
+from ruleweave.llm.common import drop_tables, flat_map, materialize, mix64, raw_words, read
 
 WINDOW = 13
 #: Words of an anchor. The anchor of a window is its run of three words that begins with the longest word (of equal ones,
@@ -77,14 +77,18 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     anchors = materialize(_emit(docs, lambda row: windows(raw_words(row[0].as_py()))[0], "anchor"), "anchors")
     shared = anchors.join(_earlier(anchors, "anchor"), "anchor").groupBy("doc_id").agg(F.collect_list("anchor").alias("anchors"))
     shared = materialize(shared, "shared-anchors")
+    drop_tables(anchors)
 
     def over_shared(row: list) -> np.ndarray:
         anchor, h = windows(raw_words(row[0].as_py()))
         return h[np.isin(anchor, row[1].values.to_numpy())]
 
     found = materialize(_emit(docs.join(shared, "doc_id").select("doc_id", "text", "anchors"), over_shared, "window"), "windows")
-    found = found.join(_earlier(found, "window"), "window").where("first < doc_id")
-    return found.groupBy("doc_id").agg(F.collect_list("window").alias("hashes"), F.collect_list("first").alias("refs"))
+    drop_tables(shared)
+    earlier = found.join(_earlier(found, "window"), "window").where("first < doc_id")
+    earlier = materialize(earlier.groupBy("doc_id").agg(F.collect_list("window").alias("hashes"), F.collect_list("first").alias("refs")), "repeated-windows")
+    drop_tables(found)
+    return earlier
 
 
 def parse(words: list[bytes], hashes: np.ndarray, refs: np.ndarray) -> list[tuple[int, int, int]]:
@@ -115,7 +119,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     table gives an empty result; other columns are ignored.
     """
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    found = materialize(repeated_windows(picked.where("doc_id is not null")), "repeated-windows")
+    found = repeated_windows(picked.where("doc_id is not null"))
     joined = picked.join(found, "doc_id", "left").select("doc_id", "text", "hashes", "refs")
     kinds = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("factors", pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64()), ("ref", pa.int64())]))), ("kept", pa.string())])
 
