@@ -68,6 +68,26 @@ def resolve(hits: DataFrame, rules: list[Rule]) -> DataFrame:
     return per.select("entity", F.explode(stay).alias("m")).select("entity", "m.*")
 
 
+@dataclass(frozen=True)
+class Judgement:
+    """What a rule says of an event such as `before deploy`: it blocks, allows, or requires something, with a reason."""
+
+    name: str
+    when: Condition
+    decision: str  # block, requires or allow
+    reason: str = ""
+    event: str = ""
+
+
+def judge(view: EntityView, rules: list[Judgement], default: str = "allow") -> DataFrame:
+    """(entity, decision, reasons): block before requires before allow, with the reasons of the rules of that decision."""
+    columns = {c: view.column(c) for c in view.df.columns}
+    held = F.array_compact(F.array(*[F.when(r.when.on(view), F.struct(F.lit(r.decision).alias("d"), template(r.reason, columns).alias("r"))) for r in rules]))
+    chosen = F.coalesce(*[F.when(F.array_contains("held.d", d), F.lit(d)) for d in ("block", "requires", "allow")], F.lit(default))
+    rows = view.df.select(F.col(view.id).alias("entity"), held.alias("held")).withColumn("decision", chosen)
+    return rows.select("entity", "decision", F.transform(F.filter("held", lambda x: x["d"] == F.col("decision")), lambda x: x["r"]).alias("reasons"))
+
+
 def verdicts(view: EntityView, constraints: list[tuple[str, Condition, str]]) -> DataFrame:
     """(entity, verdict, violated): the most severe of the violated constraints' severities, or accept."""
     failed = [(name, F.when(~must.on(view), F.lit(name)), severity) for name, must, severity in constraints]

@@ -12,7 +12,7 @@ from ruleweave.functions.conditions import Condition, attr, derived, full_text,
 from ruleweave.operators import aggregates as A
 from ruleweave.operators import graph, models, optimize, policy, recursion, sequences, stats
 from ruleweave.plans.detect import Detect
-from ruleweave.sources import factlog
+from ruleweave.sources import factlog, ingest
 from ruleweave.sources.entities import EntityView, from_facts, read_table, to_facts
 from ruleweave.streaming import feed
 
@@ -151,6 +151,15 @@ def label_template(spark, d):
     return out.select("c_custkey", "label")
 
 
+@query("""with f as (select c_custkey, c_acctbal from customer where c_acctbal < -900), a as (select count(*) as n, round(avg(c_acctbal), 2) as m from f) select c_custkey, n::varchar || ' customers below, ' || m::varchar || ' on average' as label from f, a""")
+def label_aggregates(spark, d):
+    """A label with aggregates over the flagged rows."""
+    rows = customers(spark, d).df.where((attr("c_acctbal") < -900).on(customers(spark, d)))
+    summary = rows.agg(F.count("*").alias("n"), r(F.avg("c_acctbal"), 2).alias("m"))
+    out = A.with_scalars(rows, summary)
+    return out.select("c_custkey", S.template("{n} customers below, {m} on average", {"n": F.col("n"), "m": F.col("m")}).alias("label"))
+
+
 # Aggregates
 
 
@@ -360,6 +369,29 @@ def fact_roundtrip(spark, d):
     return from_facts(to_facts(view), {"c_mktsegment": "string", "c_acctbal": "double"})
 
 
+@query("""select event_id as entity, 'event_type' as attribute, event_type as value from events where event_type is not null union all select event_id, 'user_id', user_id::varchar from events union all select event_id, 'type', 'event' from events union all select event_id, 'tag', 'import' from events""")
+def collect_ingest(spark, d):
+    """Answers with lists of items, one for each user, become facts."""
+    item = F.struct(F.col("event_id").alias("id"), "event_type", "user_id", F.array(F.lit(1)).alias("nested"))
+    answers = events(spark, d).groupBy("user_id").agg(F.to_json(F.struct(F.collect_list(item).alias("items"))).alias("body"))
+    return ingest.collect(answers, "body", "event", "import")
+
+
+@query("""with l as (select user_id, max(ts) as t, arg_max(event_type, (ts, event_id)) as v from events group by user_id) select user_id as entity, case when t < timestamp '2024-01-30' - interval 12 hour then 'checked' else v end as value from l""")
+def enrich_stale(spark, d):
+    """Users not seen for half a day get a fresh answer, the others keep what they have."""
+    facts = factlog.log(events(spark, d), "user_id", "seen", "event_type", "ts", "event_id")
+    answers = facts.select("entity").distinct().withColumn("value", F.lit("checked"))
+    return factlog.as_of(ingest.refresh(facts, answers, F.lit("2024-01-30").cast("timestamp"), F.expr("interval 12 hours"), "seen")).select("entity", "value")
+
+
+@query("""select c_custkey, '{"c_custkey":' || c_custkey || ',"c_mktsegment":"' || c_mktsegment || '"' || coalesce(',"orders":[' || string_agg('{"o_orderkey":' || o_orderkey || ',"o_orderstatus":"' || o_orderstatus || '"}', ',' order by o_orderkey) || ']', '') || '}' as document
+from customer left join orders on o_custkey = c_custkey group by c_custkey, c_mktsegment""")
+def pull_documents(spark, d):
+    children = {"orders": (orders(spark, d).df, "o_custkey", ["o_orderkey", "o_orderstatus"], ["o_orderkey"])}
+    return ingest.pull(customers(spark, d), ["c_mktsegment"], children)
+
+
 # Recursion
 
 
@@ -570,6 +602,13 @@ def constraint_verdict(spark, d):
     return policy.verdicts(orders(spark, d), rules).select("entity", "verdict")
 
 
+@query("""select o_orderkey as entity, case when o_totalprice > 180000 then 'block' when o_orderpriority = '1-URGENT' then 'requires' else 'allow' end as decision,
+  case when o_totalprice > 180000 then 'total is ' || o_totalprice::varchar when o_orderpriority = '1-URGENT' then 'needs a second look' else '' end as reasons from orders""")
+def judgements(spark, d):
+    rules = [policy.Judgement("dear", attr("o_totalprice") > 180000, "block", "total is {o_totalprice}", "before ship"), policy.Judgement("urgent", attr("o_orderpriority") == "1-URGENT", "requires", "needs a second look")]
+    return policy.judge(orders(spark, d), rules).withColumn("reasons", F.array_join("reasons", "; "))
+
+
 @query("""select o_orderkey as entity, o_orderstatus as before, case when o_orderstatus = 'O' and o_totalprice < 50000 then 'P' when o_orderstatus = 'P' and o_orderdate < timestamp '1998-01-01' then 'F' else o_orderstatus end as after, case when coalesce(o_totalprice > 1000, false) then 0 else 1 end::int as violations from orders""")
 def state_step(spark, d):
     moves = [("O", "P", attr("o_totalprice") < 50000), ("P", "F", Condition(lambda v: F.col("o_orderdate") < F.lit(NOW).cast("timestamp")))]
