@@ -6,7 +6,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ruleweave.sources.entities import EntityView
@@ -17,18 +17,26 @@ DAYS = {"second": 1 / 86400, "seconds": 1 / 86400, "minute": 1 / 1440, "minutes"
 
 @dataclass(frozen=True)
 class Condition:
-    """A yes-or-no test of a row; build gives a Column that on() makes false where it is null."""
+    """A yes-or-no test of a row. build gives a Column that is true where the test holds, and false or null elsewhere.
+
+    That is all a filter needs, and it keeps comparisons bare, so that they reach the scan. on() makes null false, which
+    negations and columns need.
+    """
 
     build: Callable[[EntityView], Column]
 
     def on(self, view: EntityView) -> Column:
         return F.coalesce(self.build(view), F.lit(False))
 
+    def rows(self, view: EntityView) -> DataFrame:
+        """The view's rows that meet the test."""
+        return view.df.where(self.build(view))
+
     def __and__(self, other: Condition) -> Condition:
-        return Condition(lambda v: self.on(v) & other.on(v))
+        return Condition(lambda v: self.build(v) & other.build(v))
 
     def __or__(self, other: Condition) -> Condition:
-        return Condition(lambda v: self.on(v) | other.on(v))
+        return Condition(lambda v: self.build(v) | other.build(v))
 
     def __invert__(self) -> Condition:
         return Condition(lambda v: ~self.on(v))
@@ -57,7 +65,7 @@ class Expr:
                 here = self.build(view).isNotNull() & right.build(view).isNotNull()
                 return here & F.lit(not op is _eq)
             x, y = self.build(view), right.build(view)
-            if a == "number":
+            if a == "number" and not (self.plain and right.plain):
                 x, y = x.cast("double"), y.cast("double")
             result = op(x, y)
             if self.plain and right.plain:
@@ -112,7 +120,14 @@ class Expr:
         return Expr(lambda v: -self.build(v).try_cast("double"), lambda v: "number")
 
     def isin(self, *values: object) -> Condition:
-        return reduce(lambda a, b: a | b, [self == x for x in values], Condition(lambda v: F.lit(False)))
+        def build(view: EntityView) -> Column:
+            kind = self.kind(view)
+            own = [x for x in values if lift(x).kind(view) == kind]
+            if self.plain and own and kind in ("string", "number"):
+                return self.build(view).isin(*own)  # one comparison, which the scan can use
+            return reduce(lambda a, b: a | b, [(self == x).build(view) for x in values], F.lit(False))
+
+        return Condition(build)
 
     def notin(self, *values: object) -> Condition:
         return present(self) & ~self.isin(*values)
@@ -190,9 +205,9 @@ def present(e: Expr | str) -> Condition:
 
 def full_text(query: str) -> Condition:
     """The query in any string attribute of the entity."""
-    return Condition(lambda v: reduce(lambda a, b: a | b, [attr(c).matches(query).on(v) for c in v.strings()], F.lit(False)))
+    return Condition(lambda v: reduce(lambda a, b: a | b, [attr(c).matches(query).build(v) for c in v.strings()], F.lit(False)))
 
 
 def derived(build: Callable[[], Condition]) -> Condition:
     """A named condition that others use: its body is built where it is used."""
-    return Condition(lambda v: build().on(v))
+    return Condition(lambda v: build().build(v))

@@ -12,7 +12,7 @@ from ruleweave.sources.entities import EntityView
 
 def select(view: EntityView, condition: Condition, *columns: str) -> DataFrame:
     """Rows that meet a condition: the id and the columns named."""
-    return view.df.where(condition.on(view)).select(view.id, *columns)
+    return condition.rows(view).select(view.id, *columns)
 
 
 def number(name: str) -> Column:

@@ -65,7 +65,7 @@ def detect_compare(spark, d):
 @query("select l_orderkey, count(*)::bigint as n_lines from lineitem where l_extendedprice > l_quantity * 1500 group by l_orderkey")
 def detect_attr_attr(spark, d):
     view = EntityView(read_table(spark, d, "lineitem"), "l_orderkey")
-    return view.df.where((attr("l_extendedprice") > attr("l_quantity") * 1500).on(view)).groupBy("l_orderkey").agg(F.count("*").alias("n_lines"))
+    return (attr("l_extendedprice") > attr("l_quantity") * 1500).rows(view).groupBy("l_orderkey").agg(F.count("*").alias("n_lines"))
 
 
 @query("select o_orderkey, o_orderpriority from orders where o_orderpriority in ('1-URGENT', '2-HIGH')")
@@ -125,7 +125,7 @@ def string_functions(spark, d):
 @query("""select o_orderkey, round(o_totalprice / 7, 4) as ratio, (o_custkey % 7)::double as rest from orders where (o_totalprice - 1000) * 2 > o_custkey * 100 + 5 and o_custkey % 7 = 3""")
 def arithmetic(spark, d):
     view = orders(spark, d)
-    kept = view.df.where((((attr("o_totalprice") - 1000) * 2 > attr("o_custkey") * 100 + 5) & (attr("o_custkey") % 7 == 3)).on(view))
+    kept = (((attr("o_totalprice") - 1000) * 2 > attr("o_custkey") * 100 + 5) & (attr("o_custkey") % 7 == 3)).rows(view)
     return kept.select("o_orderkey", r((attr("o_totalprice") / 7).build(view)).alias("ratio"), (attr("o_custkey") % 7).build(view).alias("rest"))
 
 
@@ -154,7 +154,7 @@ def label_template(spark, d):
 @query("""with f as (select c_custkey, c_acctbal from customer where c_acctbal < -900), a as (select count(*) as n, round(avg(c_acctbal), 2) as m from f) select c_custkey, n::varchar || ' customers below, ' || m::varchar || ' on average' as label from f, a""")
 def label_aggregates(spark, d):
     """A label with aggregates over the flagged rows."""
-    rows = customers(spark, d).df.where((attr("c_acctbal") < -900).on(customers(spark, d)))
+    rows = (attr("c_acctbal") < -900).rows(customers(spark, d))
     summary = rows.agg(F.count("*").alias("n"), r(F.avg("c_acctbal"), 2).alias("m"))
     out = A.with_scalars(rows, summary)
     return out.select("c_custkey", S.template("{n} customers below, {m} on average", {"n": F.col("n"), "m": F.col("m")}).alias("label"))

@@ -27,7 +27,7 @@ class Detect:
     label: str | None = None
 
     def run(self, view: EntityView) -> DataFrame:
-        out = view.df.where(self.when.on(view))
+        out = self.when.rows(view)
         for ids in self.matching:
             out = out.join(ids.select(ids.columns[0]).withColumnRenamed(ids.columns[0], view.id).distinct(), view.id, "left_semi")
         for narrow in self.statistics:
