@@ -63,10 +63,10 @@ def gram_keys(c: np.ndarray, n: int) -> np.ndarray:
 def trusted_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """(id, lang, text, held_out) of the documents that are labelled good and not toxic; a null language is ''."""
     spark = docs.sparkSession
-    good = labels.where("quality = 1 and coalesce(toxic, 0) = 0").select(F.col("doc_id").cast("long").alias("id")).distinct()
+    good = labels.where("quality = 1 and coalesce(toxic, 0) = 0").select(F.col("doc_id").cast("long").alias("id"))
     picked = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"), F.col(text_col).cast("string").alias("text")).where("text is not null and text <> ''")
     held_out = F.pmod(F.xxhash64("id"), F.lit(HELD_OUT)) == 0
-    # Spark's own bloom filter keeps the texts of unlabelled documents out of the shuffle of this join.
+    # Spark's own bloom filter keeps the texts of most other documents out of the shuffle of this semi-join.
     key = "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold"
     before = spark.conf.get(key)
     spark.conf.set(key, "0")
