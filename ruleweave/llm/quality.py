@@ -26,7 +26,8 @@ QUANTILE, SLACK, LEAST = 0.99, 0.5, 50
 SHARD_ENTRIES = 4_000_000
 START = "\x02" * (ORDER - 1)
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
-PIECE = 1 << 17
+PIECE = 1 << 14
+ONE = np.uint64(1)
 #: A word that its follower repeats, which becomes one mark. A mark is scored by the lowest order alone, where it is rare:
 #: a history would let a long run of repetitions predict itself.
 REPEATED, MARK = re.compile(r"(?<!\S)(\S+)(?=\s+\1(?!\S))"), "\x04"
@@ -181,8 +182,9 @@ class Table:
     def get(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(found, value) of each key."""
         at = self._at(keys, 0)
-        found, value = self.keys[at] == keys, self.values[at]
-        left = np.nonzero(~found & (self.keys[at] != 0))[0]
+        there, value = self.keys[at], self.values[at]
+        found = there == keys
+        left = np.nonzero(~found & (there != 0))[0]
         for step in range(1, self.rounds):
             if not len(left):
                 break
@@ -210,7 +212,7 @@ def keyed(table: DataFrame, shards: int) -> DataFrame:
                 h = np.zeros(len(rows), dtype=np.uint64)
                 for j in range(n):
                     h = h * MULTIPLIER + (c[:, j].astype(np.uint64) + np.uint64(1))
-                keys = mix64(h ^ salt(lang, n + offset[kind])) | np.uint64(1)
+                keys = mix64(h ^ salt(lang, n + offset[kind])) | ONE
                 # A character's shard is that of the code before it: the last but one of a gram, the last of a history.
                 last = n - 2 if kind == "p" else n - 1
                 shard = shard_of(c[:, last], shards).astype(np.int32) if last >= 0 and kind != "u" else np.full(len(rows), -1, np.int32)
@@ -256,32 +258,58 @@ def train(texts: DataFrame) -> Model:
     return Model(langs, found)
 
 
-def log_likelihood(table: Table, text: str, lang: str, shard: int = 0, shards: int = 1) -> float:
-    """Sum of the log probabilities of a text's characters (those that belong to the shard)."""
-    total, padded = 0.0, START + text
-    one = np.uint64(1)
-    unseen = table.get(np.array([mix64(np.array([salt(lang, 200)], np.uint64))[0] | one]))[1][0]
-    for at in range(0, len(text), PIECE):
-        c = codes(padded[at : at + PIECE + ORDER - 1])
-        m = len(c) - ORDER + 1
-        left = np.arange(m)
+def log_likelihoods(table: Table, texts: list[str], lang: str, shard: int = 0, shards: int = 1) -> np.ndarray:
+    """For each text the sum of the log probabilities of its characters (those that belong to the shard).
+
+    Texts are scored together in pieces that stay in the processor's cache; a long text has several.
+    """
+    out, parts, owners, size = np.zeros(len(texts)), [], [], 0
+    salts = {n: (salt(lang, n), salt(lang, n + 99)) for n in range(1, ORDER + 1)}
+    unseen = float(table.get(np.array([mix64(np.array([salt(lang, 200)], np.uint64))[0] | ONE]))[1][0])
+
+    def score_parts() -> None:
+        c = codes("".join(parts)).astype(np.uint64) + ONE
+        lengths = np.array([len(p) for p in parts])
+        starts = np.cumsum(lengths) - lengths
+        own = np.ones(len(c), dtype=bool)
+        own[(starts[:, None] + np.arange(ORDER - 1)[None, :]).ravel()] = False  # what only is history
+        left, values = np.flatnonzero(own), np.zeros(len(c))
         if shards > 1:
-            left = left[shard_of(c[ORDER - 2 : ORDER - 2 + m], shards) == shard]
-        runs = left[c[left + ORDER - 1] == ord(MARK)]
-        left = left[c[left + ORDER - 1] != ord(MARK)]
+            left = left[shard_of((c[left - 1] - ONE).astype(np.uint32), shards) == shard]
+        mark = c[left] == ord(MARK) + 1
+        runs, left = left[mark], left[~mark]
+
+        def keys(last: np.ndarray, n: int, s: np.uint64) -> np.ndarray:
+            h = np.zeros(len(last), dtype=np.uint64)
+            for j in range(n - 1, -1, -1):
+                h = h * MULTIPLIER + c[last - j]
+            return mix64(h ^ s) | ONE
+
         for n in range(ORDER, 0, -1):
             left = np.concatenate([left, runs]) if n == 1 else left
-            keys = gram_keys(c[ORDER - n :], n)[left]
-            found, value = table.get(mix64(keys ^ salt(lang, n)) | one)
-            total += float(value[found].sum(dtype=np.float64))
+            found, value = table.get(keys(left, n, salts[n][0]))
+            values[left[found]] += value[found]
             left = left[~found]
             if not len(left) and not len(runs):
                 break
-            history = gram_keys(c[ORDER - n : -1], n - 1)[left] if n > 1 else np.zeros(len(left), np.uint64)
-            found, value = table.get(mix64(history ^ salt(lang, n + 99)) | one)
-            total += float(value[found].sum(dtype=np.float64))
-        total += float(unseen) * len(left)
-    return total
+            found, value = table.get(keys(left - 1, n - 1, salts[n][1]))
+            values[left[found]] += value[found]
+        else:
+            values[left] += unseen
+        np.add.at(out, owners, np.add.reduceat(values, starts))
+
+    for i, text in enumerate(texts):
+        padded = START + text
+        for at in range(0, len(text), PIECE):
+            parts.append(padded[at : at + PIECE + ORDER - 1])
+            owners.append(i)
+            size += len(parts[-1])
+            if size >= PIECE:
+                score_parts()
+                parts, owners, size = [], [], 0
+    if parts:
+        score_parts()
+    return out
 
 
 def score(rows: DataFrame, model: Model) -> DataFrame:
@@ -298,11 +326,15 @@ def score(rows: DataFrame, model: Model) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch], shared=shared, shard=shard) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 texts, tongues, totals = (batch.column(batch.schema.get_field_index(n)) for n in ("text", "lang", "total"))
-                new, chars = [], []
-                for text, lang, total in zip(texts, tongues.to_pylist(), (t or 0.0 for t in totals.to_pylist()), strict=True):
-                    seen = marked(text.as_py() or "") if lang in langs else ""
-                    chars.append(len(seen))
-                    new.append(total + log_likelihood(shared.value.table(), seen, lang, shard, shards) if seen else None)
+                by_lang: dict[str, list[int]] = {}
+                for i, (text, lang) in enumerate(zip(texts, tongues.to_pylist(), strict=True)):
+                    if lang in langs and text.as_py():
+                        by_lang.setdefault(lang, []).append(i)
+                new, chars = [None] * batch.num_rows, [0] * batch.num_rows
+                for lang, own in by_lang.items():
+                    seen = [marked(texts[i].as_py()) for i in own]
+                    for i, text, sum_of in zip(own, seen, log_likelihoods(shared.value.table(), seen, lang, shard, shards).tolist(), strict=True):
+                        new[i], chars[i] = (totals[i].as_py() or 0.0) + sum_of, len(text)
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(chars, pa.int32()), pa.array(new, pa.float64())], names=batch.schema.names)
 
         scored = scored.mapInArrow(run, schema)
