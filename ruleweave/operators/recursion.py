@@ -2,23 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ruleweave.session import shared_dir
+
 
 def cut(df: DataFrame) -> DataFrame:
-    """df as a table in the folder that all executors share (spark.checkpoint.dir; its own where that is unset)."""
-    spark = df.sparkSession
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("ruleweave.shared.dir", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="ruleweave-")
-        spark.conf.set("ruleweave.shared.dir", folder)
-    path = f"{folder.rstrip('/')}/ruleweave/round-{uuid.uuid4().hex}"
+    """df as a table in the folder that all executors share, read again: its lineage ends there."""
+    path = f"{shared_dir(df.sparkSession)}/ruleweave/round-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def reachable(edges: DataFrame, seeds: DataFrame, src: str = "src", dst: str = "dst", guard: Column | None = None, max_rounds: int = 1000) -> DataFrame:
