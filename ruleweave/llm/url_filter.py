@@ -47,14 +47,15 @@ def match_rules(urls: DataFrame, rules: DataFrame, url_col: str = "url", default
     spec = rules.select(F.translate(F.col("host"), UPPER, LOWER).alias("r_host"), F.coalesce("path", F.lit("")).alias("r_path"), F.lower("action").alias("r_action")).where("r_host <> '' and r_action is not null")
     spec = spec.groupBy("r_host", "r_path").agg(F.max("r_action").alias("r_action"))
     spec = spec.withColumn("r_digest", _digest(F.col("r_host"), F.col("r_path"))).withColumn("prefix", F.substring("r_digest", 1, PREFIX_HEX))
-    lengths = spec.select(F.char_length("r_path").alias("l")).distinct().agg(F.sort_array(F.collect_set("l")).alias("lengths"))
+    lengths = sorted(row["l"] for row in spec.select(F.char_length("r_path").alias("l")).distinct().collect())  # as many as path lengths
 
     own = [c for c in urls.columns if c not in ("host", "path", "rule", "verdict")]
     split = urls.select(*[F.col(f"`{c}`") for c in own], url_host(F.col(url_col)).alias("host"), url_path(F.col(url_col)).alias("path"))
-    distinct = split.select("host", "path").where("host <> ''").distinct().crossJoin(F.broadcast(lengths))  # one row
+    distinct = split.select("host", "path").where("host <> ''").distinct()
     labels = F.split("host", r"\.")
     hosts = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    paths = F.transform(F.filter("lengths", lambda n: n <= F.char_length("path")), lambda n: F.substring(F.col("path"), F.lit(1), n))
+    known = F.array(*[F.lit(n) for n in lengths]).cast("array<int>")
+    paths = F.transform(F.filter(known, lambda n: n <= F.char_length("path")), lambda n: F.substring(F.col("path"), F.lit(1), n))
     expanded = distinct.select("host", "path", F.explode(hosts).alias("e_host"), paths.alias("paths")).select("host", "path", "e_host", F.explode("paths").alias("e_path"))
     expanded = expanded.withColumn("digest", _digest(F.col("e_host"), F.col("e_path"))).withColumn("prefix", F.substring("digest", 1, PREFIX_HEX))
     fitting = expanded.join(spec, "prefix").where("digest = r_digest and e_host = r_host and e_path = r_path")
