@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 from statistics import NormalDist
 
 from pyspark.sql import Column, DataFrame
@@ -58,13 +59,28 @@ def student_t(p: float, df: int) -> float:
     return z + sum(c / df ** (k + 1) for k, c in enumerate(terms))
 
 
+# Acklam's rational approximation of the lower tail of the normal quantile, for probabilities below 0.02425.
+TAIL_ABOVE = (-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838, -2.549732539343734, 4.374664141464968, 2.938163982698783)
+TAIL_BELOW = (7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996, 3.754408661907416, 1.0)
+
+
 def _grubbs_column(n: Column, alpha: float) -> Column:
-    """grubbs_critical() as a Column within the table; beyond it, null."""
-    points = sorted(GRUBBS[alpha].items())
-    out = F.when(n == points[0][0], F.lit(points[0][1]))
+    """grubbs_critical() as a Column: the table with straight lines, beyond it the formula."""
+    if alpha / 6 >= 0.02425:
+        raise ValueError("alpha is too large for grouped tests")
+    n = n.cast("double")
+    q = F.sqrt(-2 * F.ln(F.lit(alpha) / (2 * n)))
+    poly = lambda cs: reduce(lambda out, c: out * q + F.lit(c), cs[1:], F.lit(cs[0]))
+    z, df = -poly(TAIL_ABOVE) / poly(TAIL_BELOW), n - 2
+    power = lambda k: F.pow(z, F.lit(float(k)))
+    t = z + (power(3) + z) / (4 * df) + (5 * power(5) + 16 * power(3) + 3 * z) / (96 * df * df) + (3 * power(7) + 19 * power(5) + 17 * power(3) - 15 * z) / (384 * df * df * df)
+    t = F.when(df == 1, F.tan(F.lit(math.pi) * (0.5 - F.lit(alpha) / (2 * n)))).otherwise(t)
+    formula = F.when(n >= 3, (n - 1) / F.sqrt(n) * F.sqrt(t * t / (n - 2 + t * t)))
+    points = sorted(GRUBBS.get(alpha, {}).items())
+    out = F.when(n == points[0][0], F.lit(points[0][1])) if points else None
     for (a, x), (b, y) in zip(points, points[1:], strict=False):
         out = out.when((n > a) & (n <= b), F.lit(x) + (n - a) / F.lit(float(b - a)) * F.lit(y - x))
-    return out
+    return formula if out is None else out.otherwise(formula)
 
 
 def grubbs(df: DataFrame, value: str, by: list[str] | None = None, alpha: float = 0.05) -> DataFrame:
@@ -73,8 +89,7 @@ def grubbs(df: DataFrame, value: str, by: list[str] | None = None, alpha: float
     x = number(value)
     summary = df.where(x.isNotNull()).groupBy(*by).agg(F.avg(x).alias("mean"), F.stddev_samp(x).alias("sd"), F.count(F.lit(1)).alias("sample"))
     if by:
-        beyond = F.udf(lambda n: grubbs_critical(n, alpha), "double")(F.col("sample").cast("int")) if alpha not in GRUBBS else None
-        summary = summary.withColumn("g_crit", beyond if beyond is not None else _grubbs_column(F.col("sample"), alpha))
+        summary = summary.withColumn("g_crit", F.when(F.col("sample") >= 3, _grubbs_column(F.col("sample"), alpha)))
     else:
         n = df.where(x.isNotNull()).count()
         summary = summary.withColumn("g_crit", F.lit(grubbs_critical(n, alpha)))

@@ -43,6 +43,10 @@ def test_grubbs(spark):
     assert stats.grubbs_critical(5000) > 3.957
     assert stats.grubbs_critical(10, 0.1) == pytest.approx(2.176, abs=0.01)
     assert stats.grubbs_critical(2) == math.inf
+    for alpha in (0.05, 0.01, 0.1):
+        sizes = spark.createDataFrame([(n,) for n in (3, 4, 7, 22, 100, 101, 600, 1000, 1001, 50_000)], "n long")
+        for r in sizes.select("n", stats._grubbs_column(F.col("n"), alpha).alias("g")).collect():
+            assert r.g == pytest.approx(stats.grubbs_critical(r.n, alpha), rel=1e-6)
 
 
 def test_learned_threshold(spark):
