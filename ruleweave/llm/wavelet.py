@@ -27,7 +27,6 @@ MEMO = 500_000
 SEPARATOR = "<|startoftext|>"
 #: Letters of which neither normal forms nor lower-casing make anything but one letter.
 LEAD = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]*")
-ENCODERS: dict[str, WordEncoder] = {}
 
 SHARD = "shard_part int, shard_seq int, n_tokens long, width int, zeros array<int>, planes binary, ranks binary, doc_ids array<long>, ends array<long>"
 
@@ -150,13 +149,6 @@ class WordEncoder:
         self.memo: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
-    @classmethod
-    def of(cls, path: str) -> WordEncoder:
-        """The encoder that the tasks of one worker process share."""
-        if path not in ENCODERS:
-            ENCODERS[path] = cls(path)
-        return ENCODERS[path]
-
     def _encode(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=self.kind)
 
@@ -225,6 +217,19 @@ class WordEncoder:
         return [b"".join(ids_of) for ids_of in found]
 
 
+class SharedEncoder:
+    """What is broadcast of an encoder: its file. Each worker process opens it once, keeps it for all tasks of the job, and
+    lets it go with the broadcast, so that other jobs don't find the memory taken."""
+
+    def __init__(self, path: str):
+        self.path, self.encoder = path, None
+
+    def get(self) -> WordEncoder:
+        if self.encoder is None:
+            self.encoder = WordEncoder(self.path)
+        return self.encoder
+
+
 def encode_shards(docs: DataFrame, tokenizer: str, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row with a wavelet matrix for each shard; shards ordered by (shard_part, shard_seq) hold ascending ids of documents.
 
@@ -233,12 +238,13 @@ def encode_shards(docs: DataFrame, tokenizer: str, end_id: int = END_ID, id_col:
     by ranges of their ids, so each task reads a bounded, sorted part and writes shards of about SHARD_TOKENS ids;
     a longer document has a longer shard.
     """
+    shared = docs.sparkSession.sparkContext.broadcast(SharedEncoder(tokenizer))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder = WordEncoder.of(tokenizer)
+        encoder = shared.value.get()
         end = np.array([end_id], dtype=encoder.kind).tobytes()
         part, seq, ids, doc_ids, ends, size = TaskContext.get().partitionId(), 0, [], [], [], 0
 
