@@ -28,6 +28,7 @@ START = "\x02" * (ORDER - 1)
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 PIECE = 1 << 14
 ONE = np.uint64(1)
+PIECE_ROWS = 512
 #: A word that its follower repeats, which becomes one mark. A mark is scored by the lowest order alone, where it is rare:
 #: a history would let a long run of repetitions predict itself.
 REPEATED, MARK = re.compile(r"(?<!\S)(\S+)(?=\s+\1(?!\S))"), "\x04"
@@ -163,7 +164,7 @@ class Table:
     """64-bit keys to 32-bit values in open addressing, built and searched in whole arrays."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
-        self.bits = max(4, int(np.ceil(np.log2(max(1, len(keys)) * 2.5))))
+        self.bits = max(4, int(np.ceil(np.log2(max(1, len(keys)) * 1.5))))
         self.keys = np.zeros(1 << self.bits, dtype=np.uint64)
         self.values = np.zeros(1 << self.bits, dtype=np.float32)
         self.rounds, used, left = 0, np.zeros(1 << self.bits, dtype=bool), np.arange(len(keys))
@@ -324,7 +325,8 @@ def score(rows: DataFrame, model: Model) -> DataFrame:
     for shard, shared in enumerate(model.shards):
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared, shard=shard) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            # Small pieces: only some hundred texts are Python objects at a time.
+            for batch in (b.slice(at, PIECE_ROWS) for b in batches for at in range(0, b.num_rows, PIECE_ROWS)):
                 texts, tongues, totals = (batch.column(batch.schema.get_field_index(n)) for n in ("text", "lang", "total"))
                 by_lang: dict[str, list[int]] = {}
                 for i, (text, lang) in enumerate(zip(texts, tongues.to_pylist(), strict=True)):
