@@ -266,6 +266,9 @@ PAGE = """<!DOCTYPE html><html><head><title>T &amp; t</title><style>p{}</style><
         ("<div class=post><p>only</p></div>", ["only"]),
         ("<article><p>a &amp &am b</p><div class='cookie-notice'>c</div><p>cut <b", ["a & &am b", "cut"]),
         ("<article></article>", []),
+        ("<div class='layout has-sidebar'><article class='post comments-open'><p>in</p></article><div class='side-bar sidebar'>x</div></div>", ["in"]),
+        ("<article><p>text</p></article><div class=comments><article class=comment><p>me too</p></article></div>", ["text"]),
+        ("<div class='adBanner'>x</div><div class='address'><p>kept</p></div>", ["kept"]),
     ],
 )
 def test_main_text(body, want):
