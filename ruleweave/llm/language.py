@@ -17,6 +17,8 @@ from ruleweave.llm.common import flat_map, materialize, read
 #: Documents of each language that the model learns from (picked by a hash of their id), and entries that it keeps of all
 #: languages together: a model of bounded size, which is what may be broadcast.
 TRAIN_DOCS, ENTRIES = 6000, 480_000
+#: Cells (entries times languages) of the matrix: with very many languages each keeps fewer entries.
+CELLS = 40_000_000
 ORDERS = (5, 4, 3, 2, 1)
 LETTERS = re.compile(r"[^\W\d_]+")
 MEMO = 200_000
@@ -52,7 +54,7 @@ class Model:
         counts = np.full((len(orders), len(langs)), 0.5)
         for row, lang, count in cells:
             counts[row, lang] += count
-        self.logs = np.log(counts) - np.log(size[orders] + 1) if orders else counts
+        self.logs = (np.log(counts) - np.log(size[orders] + 1) if orders else counts).astype(np.float32)
         self.memo: dict[str, list[int]] = {}
 
     def backoff(self, word: str) -> list[int]:
@@ -73,10 +75,10 @@ class Model:
         if not words or not self.langs:
             return "und", 0.0
         rows = np.fromiter(map(self.words.get, words, repeat(-1)), np.int64, len(words))
-        total = self.logs[rows[rows >= 0]].sum(axis=0)
+        total = self.logs[rows[rows >= 0]].sum(axis=0, dtype=np.float64)
         if (rows < 0).any():
             more = [r for i in np.nonzero(rows < 0)[0].tolist() for r in self.backoff(words[i])]
-            total = total + self.logs[more].sum(axis=0) if more else total
+            total = total + self.logs[more].sum(axis=0, dtype=np.float64) if more else total
         best = int(total.argmax())
         return self.langs[best], float(1 / np.exp(np.minimum(total - total[best], 0)).sum())
 
@@ -88,7 +90,7 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     aggregates; only the chosen entries, bounded by `entries`, come to the driver.
     """
     base = labelled.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text is not null and lang is not null")
-    known = {r["lang"]: r["n"] for r in base.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(entries // 200).collect()}
+    known = {r["lang"]: r["n"] for r in base.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(entries // 240).collect()}
     if not known:
         return Model([], [], {})
     share = F.element_at(F.create_map(*[F.lit(x) for lang, n in known.items() for x in (lang, min(1.0, train_docs / n))]), F.col("lang"))
@@ -110,7 +112,7 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
 
     counts = materialize(flat_map(picked, count, "lang string, n int, gram string, c long").groupBy("lang", "n", "gram").agg(F.sum("c").alias("c")), "language-counts")
     totals = {(r["lang"], r["n"]): r["t"] for r in counts.groupBy("lang", "n").agg(F.sum("c").alias("t")).collect()}
-    each = max(100, entries // (len(known) * (len(ORDERS) + 1)))
+    each = max(20, min(entries, CELLS // len(known)) // (len(known) * (len(ORDERS) + 1)))
     rank = F.row_number().over(W.partitionBy("lang", "n").orderBy(F.desc("c"), "gram"))
     rows = counts.withColumn("rank", rank).where(F.col("rank") <= F.when(F.col("n") == 0, 2 * each).otherwise(each)).select("lang", "n", "gram", "c").toPandas()
     return Model(sorted(known), list(rows.itertuples(index=False, name=None)), totals)
