@@ -145,7 +145,10 @@ def model_table(counts: DataFrame) -> DataFrame:
         d = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
         level = levels[n].join(F.broadcast(_discounts(levels[n])), "lang")  # a row for each language
         level = level.select("lang", "gram", F.substring("gram", 1, n - 1).alias("h"), F.substring("gram", 2, n - 1).alias("short"), "c", d.alias("d"))
+        level = materialize(level, "cut-grams")  # short plans: the driver's memory goes with their size
         history = level.groupBy("lang", "h").agg(F.sum("c").alias("all"), F.sum("d").alias("kept")).select("lang", "h", "all", (F.col("kept") / F.col("all")).alias("b"))
+        history = materialize(history, "histories")
+        orders += [level, history]
         level = level.join(history, ["lang", "h"])
         level = level.join(F.broadcast(base), "lang") if n == 1 else level.join(lower.select("lang", F.col("gram").alias("short"), F.col("p").alias("low")), ["lang", "short"])
         lower = materialize(level.select("lang", "gram", ((F.col("c") - F.col("d")) / F.col("all") + F.col("b") * F.col("low")).alias("p")), "probabilities")
