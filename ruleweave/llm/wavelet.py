@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -25,8 +26,26 @@ END_ID = 1
 #: Encoded words that a task keeps at most.
 MEMO = 500_000
 SEPARATOR = "<|startoftext|>"
-#: Letters of which neither normal forms nor lower-casing make anything but one letter.
-LEAD = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]*")
+#: Letters (in UTF-8) of which neither normal forms nor lower-casing make anything but one letter: A-Z, a-z, À-Ö, Ø-ö, ø-ÿ.
+LEAD = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])*")
+#: Bytes of text that are split and gathered at once.
+PIECE = 1 << 22
+#: ASCII letters, and second bytes of the plain letters after 0xC3.
+LETTER = np.isin(np.arange(256), np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", np.uint8))
+SECOND = (np.arange(256) >= 0x80) & (np.arange(256) <= 0xBF) & ~np.isin(np.arange(256), [0x97, 0xB7])
+BLANKS = bytes.maketrans(b"\n", b" ")
+LOWER = bytes.maketrans(b"\nABCDEFGHIJKLMNOPQRSTUVWXYZ", b" abcdefghijklmnopqrstuvwxyz")
+#: Normalizer and pre-tokenizer that leave runs of lower-case plain letters as they are but for the bytes' names.
+LETTER_STEPS = (
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+)
 
 SHARD = "shard_part int, shard_seq int, n_tokens long, width int, zeros array<int>, planes binary, ranks binary, doc_ids array<long>, ends array<long>"
 
@@ -46,7 +65,7 @@ class WaveletMatrix:
         planes, zeros = np.zeros((width, size), dtype=np.uint8), np.zeros(width, dtype=np.int32)
         n, spare = len(ids), np.empty_like(ids)
         for level in range(width):
-            ones = ((ids >> (width - 1 - level)) & 1).astype(bool)
+            ones = (ids & ids.dtype.type(1 << (width - 1 - level))).astype(bool)
             packed = np.packbits(ones, bitorder="little")
             planes[level, : len(packed)] = packed
             z = zeros[level] = n - np.count_nonzero(ones)
@@ -129,9 +148,10 @@ class WaveletMatrix:
 class WordEncoder:
     """Encodes whole texts with a tokenizer that never joins characters across a blank or a line feed.
 
-    The texts' words are encoded once each and kept (in two generations of at most MEMO), so that frequent words cost a
-    look-up; tests hold the result against encoding texts as a whole. New words go to the tokenizer together: their
-    leading plain letters parted by blanks, where the vocabulary marks word ends, anything else parted by a special token.
+    Texts are split at blanks and behind a word's leading plain letters, and the different words found, in whole arrays. Each
+    different word is encoded once and kept (in two generations of at most MEMO words); the ids of the texts are gathered
+    from those of their words. Tests hold the result against encoding texts as a whole. New words go to the tokenizer
+    together: plain letters parted by blanks, where the vocabulary marks word ends, anything else parted by a special token.
     """
 
     def __init__(self, path: str):
@@ -146,17 +166,33 @@ class WordEncoder:
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.lowers = self._encode("A").tolist() == self._encode("a").tolist()
         self.marks_ends = bool(self.ends.any())
-        self.memo: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.letters = self._letters_only()
+        self.memo: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
-    def _encode(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=self.kind)
+    def _letters_only(self):
+        """A tokenizer for lower-case plain letters between blanks: the same model without the steps that leave such text alone.
 
-    def _keep(self, words: list[str], ids: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
+        Where the file has other steps than those of LETTER_STEPS this is the tokenizer itself.
+        """
+        from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel, Sequence, WhitespaceSplit
+
+        steps = json.loads(self.tokenizer.to_str())
+        if (steps["normalizer"], steps["pre_tokenizer"]) != LETTER_STEPS:
+            return self.tokenizer
+        letters = Tokenizer(self.tokenizer.model)
+        letters.pre_tokenizer = Sequence([WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)])
+        return letters
+
+    def _encode(self, text: str, tokenizer=None) -> np.ndarray:
+        return np.array((tokenizer or self.tokenizer).encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=self.kind)
+
+    def _keep(self, words: list[bytes], ids: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
         size, raw = ids.itemsize, ids.tobytes()
         self.memo.update((w, raw[a:b]) for w, a, b in zip(words, (starts * size).tolist(), (ends * size).tolist(), strict=True))
 
-    def _known(self, word: str) -> bool:
+    def _known(self, word: bytes) -> bool:
         if word in self.memo:
             return True
         found = self.older.get(word)
@@ -164,57 +200,119 @@ class WordEncoder:
             self.memo[word] = found
         return found is not None
 
-    def learn(self, words: set[str]) -> None:
-        new, rests, parts, lead_end = [w for w in words if not self._known(w)], set(), [], LEAD.match
-        for w in new:
-            n = lead_end(w).end() if self.marks_ends else 0
-            if n and (n == len(w) or w[n] < "\x80"):
-                parts.append((w, w[:n].lower(), w[n:]))
-            else:
-                rests.add(w)
-        self._learn_leads([w for w in {lead for _, lead, _ in parts} if not self._known(w)])
-        self._learn_apart([w for w in rests.union(rest for _, _, rest in parts) if not self._known(w)])
-        self.memo.update([(w, self.memo[lead] + self.memo[rest]) for w, lead, rest in parts])
-
-    def _learn_leads(self, words: list[str]) -> None:
+    def learn(self, words: list[bytes]) -> None:
+        """Adds different words to the memo."""
+        new = [w for w in words if not self._known(w)]
+        leads = [w for w in new if LEAD.fullmatch(w)] if self.marks_ends else []
+        upper = {w: w.decode().lower().encode() for w in leads if b"\xc3" in w or not w.islower()}
+        lower = set(leads).difference(upper).union(w for w in upper.values() if not self._known(w))
+        self._learn_leads(list(lower))
+        self._learn_apart(list(set(new).difference(leads)))
+        self.memo.update((w, self.memo[low]) for w, low in upper.items())
+
+    def _learn_leads(self, words: list[bytes]) -> None:
         """Words of plain letters, each of which ends with the only word end of its ids."""
         for at in range(0, len(words), 5000):
             part = words[at : at + 5000]
-            ids = self._encode(" ".join(part))
+            ids = self._encode(b" ".join(part).decode(), self.letters)
             ends = np.nonzero(self.ends[ids])[0] + 1
             if len(ends) == len(part):
                 self._keep(part, ids, np.concatenate([[0], ends[:-1]]), ends)
             else:
                 self._learn_apart(part)
 
-    def _learn_apart(self, words: list[str]) -> None:
-        alone = [w for w in words if self.separator is None or SEPARATOR[:1] in w]
-        self.memo.update((w, self._encode(w).tobytes()) for w in alone)
+    def _learn_apart(self, words: list[bytes]) -> None:
+        first = SEPARATOR[:1].encode()
+        alone = [w for w in words if self.separator is None or first in w]
+        self.memo.update((w, self._encode(w.decode("utf-8", "replace")).tobytes()) for w in alone)
         rest = list(set(words).difference(alone))
         for at in range(0, len(rest), 5000):
             part = rest[at : at + 5000]
-            ids = self._encode(SEPARATOR.join(part))
+            ids = self._encode(SEPARATOR.join(w.decode("utf-8", "replace") for w in part))
             cuts = np.nonzero(ids == self.separator)[0]
             self._keep(part, ids, np.concatenate([[0], cuts + 1]), np.concatenate([cuts, [len(ids)]]))
 
-    def _plain(self, text: str) -> str:
-        """The text with A-Z in lower case, if the tokenizer makes no difference, so that fewer words are different."""
-        if not self.lowers or "<|" in text:  # special tokens are told apart by case
-            return text
-        return text.lower() if text.isascii() else text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
+    def _split(self, x: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """Where words begin in UTF-8 text, and where their leading plain letters end if an ASCII character follows."""
+        blank = x == 0x20
+        letter = LETTER[x]
+        pairs = np.flatnonzero((x[:-1] == 0xC3) & SECOND[x[1:]])
+        letter[pairs] = letter[pairs + 1] = True
+        first = np.ones(len(x), dtype=bool)
+        first[1:] = blank[:-1]
+        first[bounds[:-1][bounds[:-1] < len(x)]] = True
+        starts = np.flatnonzero(first & ~blank)
+        if not self.marks_ends:
+            return starts
+        ends = np.flatnonzero(letter[:-1] & ~letter[1:] & ~blank[1:] & ~first[1:]) + 1
+        word = np.searchsorted(starts, ends, side="right") - 1
+        ends = ends[(np.diff(word, prepend=-1) > 0) & letter[starts[word]] & (x[ends] < 0x80)]
+        return np.sort(np.concatenate([starts, ends]))
+
+    def _piece(self, raw: bytes, bounds: np.ndarray, closes: np.ndarray, end: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the texts raw[bounds[i] : bounds[i + 1]] one after the other, with `end` after those that close a document, and
+        how many each has."""
+        # Special tokens are told apart by case; else A-Z become a-z, so that fewer words are different.
+        raw = raw.translate(LOWER if self.lowers and b"<|" not in raw else BLANKS)
+        x = np.frombuffer(raw, np.uint8)
+        starts = self._split(x, bounds)
+        after = np.searchsorted(starts, bounds[1:])  # words up to the end of each text
+        dense = raw.translate(None, b" ")
+        at = np.append(starts - np.cumsum(x == 0x20, dtype=np.int32)[starts], len(dense)).astype(np.int64)
+        coded = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(at), pa.py_buffer(dense)]).dictionary_encode()
+        _, at, letters = coded.dictionary.buffers()
+        at = np.frombuffer(at, np.int64)[: len(coded.dictionary) + 1].tolist() if at else [0]
+        letters = letters.to_pybytes() if letters else b""
+        words = [letters[a:b] for a, b in zip(at, at[1:], strict=False)]
+        if len(self.memo) > MEMO:
+            self.memo, self.older = {}, self.memo
+        found = list(map(self.memo.get, words))
+        holes = [i for i, ids in enumerate(found) if ids is None]
+        self.learn([words[i] for i in holes])
+        for i in holes:
+            found[i] = self.memo[words[i]]
+        found.append(end)
+        flat = np.frombuffer(b"".join(found), self.kind)
+        size = np.fromiter(map(len, found), np.int64, len(found)) // flat.itemsize
+        order = np.insert(coded.indices.to_numpy(), after[closes], len(words))
+        own = size[order]
+        total = np.concatenate([[0], np.cumsum(own)])
+        ids = flat[np.repeat((np.cumsum(size) - size)[order] - total[:-1], own) + np.arange(total[-1])]
+        return ids, np.diff(total[after + np.cumsum(closes)], prepend=0)
+
+    def pieces(self, texts: pa.Array, end: bytes) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(ids, how many each text has, whether it closes a document) of about PIECE bytes of texts at a time.
+
+        A longer text is cut at blanks into several, of which the last one closes the document. Null texts are empty.
+        """
+        texts = texts.cast(pa.large_string()).fill_null("")
+        _, at, raw = texts.buffers()
+        at = np.frombuffer(at, np.int64)[texts.offset :][: len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+        i = 0
+        while i < len(texts):
+            stop = max(i + 1, int(np.searchsorted(at, at[i] + PIECE, side="right")) - 1)
+            part = raw.slice(int(at[i]), int(at[stop] - at[i])).to_pybytes() if raw else b""
+            bounds = at[i : stop + 1] - at[i]
+            cut = 0
+            while len(bounds) == 2 and len(part) - cut > PIECE and (blank := part.find(b" ", cut + PIECE)) >= 0:
+                # The blank itself is nothing; words on both sides stay whole.
+                yield *self._piece(part[cut:blank], np.array([0, blank - cut]), np.zeros(1, bool), end), np.zeros(1, bool)
+                cut = blank + 1
+            bounds = np.maximum(bounds - cut, 0)
+            closes = np.ones(len(bounds) - 1, dtype=bool)
+            yield *self._piece(part[cut:], bounds, closes, end), closes
+            i = stop
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as bytes."""
-        if len(self.memo) > MEMO:
-            self.memo, self.older = {}, self.memo
-        split = [self._plain(t).replace("\n", " ").split(" ") if t else [] for t in texts]
-        found = [list(map(self.memo.get, words)) for words in split]
-        holes = [[i for i, ids in enumerate(ids_of) if ids is None] for ids_of in found]
-        self.learn({words[i] for words, own in zip(split, holes, strict=True) for i in own})
-        for words, ids_of, own in zip(split, found, holes, strict=True):
-            for i in own:
-                ids_of[i] = self.memo[words[i]]
-        return [b"".join(ids_of) for ids_of in found]
+        out, own = [], []
+        for ids, sizes, closes in self.pieces(pa.array(texts, pa.string()), b""):
+            for part, close in zip(np.split(ids, np.cumsum(sizes)[:-1]), closes.tolist(), strict=True):
+                own.append(part.tobytes())
+                if close:
+                    out.append(b"".join(own))
+                    own = []
+        return out
 
 
 class SharedEncoder:
@@ -249,22 +347,38 @@ def encode_shards(docs: DataFrame, tokenizer: str, end_id: int = END_ID, id_col:
         part, seq, ids, doc_ids, ends, size = TaskContext.get().partitionId(), 0, [], [], [], 0
 
         def shard() -> pa.RecordBatch:
-            m = WaveletMatrix.build(np.frombuffer(b"".join(ids), encoder.kind), encoder.width)
-            rows = {"shard_part": part, "shard_seq": seq, "n_tokens": m.n, "width": encoder.width, "zeros": m.zeros.tolist(), "planes": m.planes.tobytes(), "ranks": m.ranks.tobytes(), "doc_ids": doc_ids, "ends": ends}
-            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+            m = WaveletMatrix.build(np.concatenate(ids), encoder.width)
+            rows = {
+                "shard_part": part,
+                "shard_seq": seq,
+                "n_tokens": m.n,
+                "width": encoder.width,
+                "zeros": m.zeros.tolist(),
+                "planes": m.planes.tobytes(),
+                "ranks": m.ranks.tobytes(),
+                "doc_ids": doc_ids,
+                "ends": ends,
+            }
+            longs = pa.list_(pa.int64())
+            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.binary(), pa.binary(), longs, longs]
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(rows.values(), kinds, strict=True)], list(rows))
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                piece = batch.slice(at, 256)
-                for doc_id, raw in zip(piece.column(0).to_pylist(), encoder.encode(piece.column(1).to_pylist()), strict=True):
-                    ids += [raw, end]
-                    size += len(raw) // len(end) + 1
-                    doc_ids.append(doc_id)
+            names = iter(batch.column(0).to_pylist())
+            for found, sizes, closes in encoder.pieces(batch.column(1), end):
+                used = at = 0
+                for n, close in zip(sizes.tolist(), closes.tolist(), strict=True):
+                    at += n
+                    size += n
+                    if not close:
+                        continue
+                    doc_ids.append(next(names))
                     ends.append(size)
                     if size >= SHARD_TOKENS:
+                        ids.append(found[used:at])
                         yield shard()
-                        seq, ids, doc_ids, ends, size = seq + 1, [], [], [], 0
+                        used, seq, ids, doc_ids, ends, size = at, seq + 1, [], [], [], 0
+                ids.append(found[used:])
         if doc_ids:
             yield shard()
 
