@@ -1,254 +1,526 @@
-"""Main text of web pages: wrappers induced from pages of one host, applied to every page of it."""
+"""Main text of web pages: wrappers induced from all pages of a host, applied to every page of it."""
 
 from __future__ import annotations
 
 import re
-from collections import defaultdict
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html import unescape
 
-import pandas as pd
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ruleweave.llm.common import flat_map, materialize, read
+from ruleweave.llm.common import drop_tables, flat_map, materialize, read
 from ruleweave.llm.url_filter import url_host
 
-#: Pages of a host (picked by a hash of their id) from which its wrapper is induced, and pages on which a node must be the
-#: same to count as template.
-SAMPLE, SAME = 6, 3
-#: Above this many pairs of children two nodes' children are paired in order instead of by dynamic programming.
-PAIRS = 40_000
+#: Pages of a host (picked by a hash of their id) with which every page of the host is aligned. A node is template if its text
+#: is the same on at least SAME different pages and on half of those that have the node.
+REFERENCES, SAME = 4, 3
+#: Pages of a host that one task aligns; a host with more has its references in several tasks.
+HOST_PAGES = 5000
 
-TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?][^>]*>""", re.S)
-ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
-RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "svg", "math", "object", "select", "button", "audio", "video", "canvas"}
+#: Fixed values of HTML: elements whose content is raw text, that have no content, that make blocks, that are never article.
+RAW = {"script", "style", "textarea", "title", "iframe", "noembed"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-BLOCKS = set("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
-OUTSIDE = {"head", "nav", "aside", "footer", "form", "menu", "dialog"}
-#: Words in a class, id or role that mark what isn't the article.
+BLOCKS = set(
+    "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form "
+    "h1 h2 h3 h4 h5 h6 head header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
+)
+OUTSIDE = {"head", "nav", "aside", "footer", "form", "menu", "dialog", "template", "svg", "select", "button", "audio", "video", "canvas"}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+PASSAGES = HEADINGS | {"p", "li", "dt", "dd", "tr", "td", "th", "pre", "blockquote", "figcaption", "caption", "summary"}
+ENDED_BY_NEXT = {"li", "dt", "dd", "tr", "td", "th"}
+#: Words that mark what isn't the article, and words that may stand beside them in a marking name. A name such as
+#: `cookie-notice` or `comments-list` marks; `notice-period`, `share-of-market` and `has-sidebar` don't.
 MARKS = set(
-    "ad ads adv advert adverts advertisement advertising adsbygoogle banner banners breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies copyright disclaimer disqus feedback "
-    "footer form gdpr header login masthead menu menus modal nav navbar navigation newsletter notice notices notification overlay pager pagination popup promo promotion related replies reply "
-    "search share sharing sidebar sidebars signup skip social sponsor sponsored subscribe subscription toolbar topbar widget widgets".split()
-)
-
-LAYOUT = {"has", "with", "no", "without", "open", "closed", "enabled", "disabled", "layout"}
-REPLIES = {"comment", "comments", "reply", "replies"}
+    "ad ads adv advert adverts advertisement advertising adsbygoogle banner banners breadcrumb breadcrumbs comment comments "
+    "complementary consent contentinfo cookie cookies copyright disclaimer disqus feedback footer form gdpr header login "
+    "masthead menu menus modal nav navbar navigation newsletter notice notices notification overlay pager pagination popup "
+    "promo promotion related replies reply search share sharing sidebar sidebars signup skip social sponsor sponsored "
+    "subscribe subscription toolbar topbar widget widgets".split()
+)
+BESIDE = set(
+    "area articles aside bar block bottom box button buttons col column container content foot global group head icons inner item "
+    "items left links list main mobile module outer page panel post posts primary right row secondary section side site slot "
+    "stories thread top unit wrap wrapper".split()
+)
+REPLIES = {"comment", "comments", "reply", "replies", "disqus"}
+
+TAG_NAME = re.compile(r"/?[a-zA-Z][^\s/>]*")
+QUOTE_OR_END = re.compile(r""">|=\s*["']""")
+ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
+RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I) for tag in RAW}
+MASK = (1 << 64) - 1
 
 
-@dataclass
+@dataclass(slots=True, eq=False)
 class Node:
+    """A block element that holds text. key is a hash of the labels from the page's root down to it."""
+
     label: str
-    path: str
+    key: int = 0
+    depth: int = 0
+    parent: Node | None = None
     text: list[str] = field(default_factory=list)
     children: list[Node] = field(default_factory=list)
+    linked: bool = False
+    shape: int = -1
+
+    def constant(self) -> int:
+        """A hash of where the node is and what it says."""
+        return xxhash.xxh64_intdigest("\n".join(self.text).encode("utf-8", "surrogatepass"), self.key)
+
+
+@dataclass(slots=True)
+class Block:
+    node: Node
+    text: str
+    outside: bool
+    article: bool
+    rooted: bool
+
+
+def child_key(key: int, label: str) -> int:
+    return xxhash.xxh64_intdigest(label.encode("utf-8", "surrogatepass"), key)
+
+
+def path_key(path: str) -> int:
+    """The key of a path such as /body/div.top."""
+    key = 0
+    for label in path.split("/")[1:]:
+        key = child_key(key, label)
+    return key
 
 
-def marked(attributes: str) -> tuple[str, set[str]]:
-    """The class and id that name a node, and the words of them and of its role that mark what isn't the article.
+def marks(words: list[str]) -> set[str]:
+    """What marks a name as none of the article's, if the whole name says so."""
+    found = set(words)
+    hit = found & MARKS
+    return hit if hit and all(w in MARKS or w in BESIDE or w.isdigit() for w in found) else set()
 
-    Names such as `has-sidebar` or `comments-open` speak of the page's layout and mark nothing.
+
+def read_attributes(tag: str, attributes: str, inside: bool) -> tuple[str, bool]:
+    """The element's name in paths (classes and id, numbers as 0), and whether they or its role mark it.
+
+    Inside the article headings and inline elements are never marked, and an id marks reader comments only; an article or main
+    element can only be marked as a comment.
     """
-    found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(attributes)}
-    names = [{w.lower() for w in NAME.findall(name)} for value in found.values() for name in value.split()]
-    words = set().union(*(n for n in names if not n & LAYOUT)) & MARKS
-    return "".join(f".{v.strip()}" for k, v in found.items() if k != "role"), words
+    label, marked = "", False
+    for m in ATTRIBUTE.finditer(attributes):
+        kind, value = m[1].lower(), (m[2] or m[3] or m[4] or "").strip()
+        if kind != "role":
+            label += "." + re.sub(r"\d+", "0", value)
+        if tag in ("html", "body") or (inside and (tag in HEADINGS or tag not in BLOCKS)):
+            continue
+        hit = set().union(*(marks([w.lower() for w in NAME.findall(name)]) for name in value.split()))
+        if tag in ("article", "main") or (inside and kind == "id"):
+            hit &= REPLIES
+        marked = marked or bool(hit)
+    return label, marked
 
 
-def blocks(html: str) -> list[tuple[str, str, bool, bool]]:
-    """(path, text, outside, article) of every block of text in page order.
+def tags(html: str) -> Iterator[tuple[int, int, str, str]]:
+    """(start, end, name, attributes) of comments, tags and declarations; name is '' for what is no tag, and begins with / in end tags.
 
-    path names the open elements with their classes and ids; outside says that one of them is no part of an article,
-    article that one is an article or main element. Elements may be left open: a block closes an open paragraph, an end
-    tag closes what is open inside its element.
+    A quoted attribute value may hold '>'; a quote that is never closed counts for nothing. A tag that the page's end cuts
+    off goes on to the end. Every character is looked at a bounded number of times.
+    """
+    at, last = 0, {q: html.rfind(q) for q in "\"'"}
+    while (start := html.find("<", at)) >= 0:
+        if html.startswith("<!--", start):
+            end = html.find("-->", start + 4)
+            at = len(html) if end < 0 else end + 3
+            yield start, at, "", ""
+            continue
+        name = TAG_NAME.match(html, start + 1)
+        if name is None:
+            at = start + 1
+            if html.startswith(("<!", "<?", "</"), start):
+                end = html.find(">", at)
+                at = len(html) if end < 0 else end + 1
+                yield start, at, "", ""
+            continue
+        at = name.end()
+        while True:
+            stop = QUOTE_OR_END.search(html, at)
+            if stop is None:
+                yield start, len(html), "", ""
+                return
+            if stop[0] == ">":
+                at = stop.end()
+                break
+            quote = html[stop.end() - 1]
+            if stop.end() > last[quote]:
+                end = html.find(">", stop.end())
+                at = len(html) if end < 0 else end + 1
+                break
+            at = html.index(quote, stop.end()) + 1
+        raw = RAW_END.get(name[0].lower())
+        yield start, at, name[0].lower(), html[name.end() : at - 1]
+        if raw is not None:
+            end = raw.search(html, at)
+            at = len(html) if end is None else end.start()
+            yield at, at, "", ""  # text goes on here
+
+
+def parse(html: str, root: int | None = None) -> tuple[Node, list[Block]]:
+    """The page's blocks of text in page order, and the tree of the block elements that hold them.
+
+    A block is outside if an element that is no part of an article, or is marked so, is open; article if an article or main
+    element is; rooted if the element with the key `root` is. Elements may be left open: a block ends an open paragraph, an
+    item the item before it, an end tag what is open inside its element.
     """
-    stack: list[tuple[str, str, bool, bool]] = []  # tag, path, outside, article
-    out: list[tuple[str, str, bool, bool]] = []
+    top = Node("")
+    # Of each open element: tag, node, index of the nearest block element, outside, article, rooted.
+    stack: list[tuple[str, Node, int, bool, bool, bool]] = [("", top, 0, False, False, root == 0)]
+    opened: Counter[str] = Counter()
+    out: list[Block] = []
     parts: list[str] = []
-    at = 0
 
     def close() -> None:
-        if parts:
-            text = " ".join(unescape("".join(parts)).split())
-            parts.clear()
-            if text:
-                out.append((*([""] if not stack else [stack[-1][1]]), text, bool(stack) and stack[-1][2], bool(stack) and stack[-1][3]))
-
-    while m := TAG.search(html, at):
-        if m.start() > at:
-            parts.append(html[at : m.start()])
-        at = m.end()
-        if not m[2]:
+        text = " ".join(unescape("".join(parts)).split())
+        parts.clear()
+        if text:
+            _, node, _, outside, article, rooted = stack[-1]
+            node.text.append(text)
+            out.append(Block(node, text, outside, article, rooted))
+            while node.parent is not None and not node.linked:
+                node.parent.children.append(node)
+                node.linked = True
+                node = node.parent
+
+    def leave(at: int) -> None:
+        for entry in stack[at:]:
+            opened[entry[0]] -= 1
+        del stack[at:]
+
+    at, raw = 0, False
+    for start, end, tag, attributes in tags(html):
+        if start > at and not raw:
+            parts.append(html[at:start])
+        at, raw = end, tag in RAW
+        if not tag or raw:
             continue
-        tag = m[2].lower()
         if tag == "br":
             parts.append("\n")
-        elif m[1]:
-            opened = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
-            if opened is not None:
-                if any(s[0] in BLOCKS for s in stack[opened:]):
+        elif tag[0] == "/":
+            tag = tag[1:]
+            if opened[tag]:
+                i = len(stack) - 1
+                while stack[i][0] != tag:
+                    i -= 1
+                if stack[-1][2] >= i:  # a block element ends
                     close()
-                del stack[opened:]
-        elif tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
-            at = end.end() if end else len(html)
+                leave(i)
         else:
-            if tag in BLOCKS:
+            block = tag in BLOCKS
+            if block:
                 close()
-                if tag not in ("html", "body"):
-                    # A block ends an open paragraph and what is open inside it, an item the item before it.
-                    for i in range(len(stack) - 1, -1, -1):
-                        if stack[i][0] == "p" or (stack[i][0] == tag and tag in ("li", "dt", "dd", "tr", "td", "th")):
-                            del stack[i:]
-                            break
-                        if stack[i][0] in BLOCKS:
-                            break
+                nearest = stack[-1][2]
+                if tag not in ("html", "body") and (stack[nearest][0] == "p" or (stack[nearest][0] == tag and tag in ENDED_BY_NEXT)):
+                    leave(nearest)
             if tag not in VOID:
-                name, marks = marked(m[3]) if "=" in m[3] else ("", frozenset())
-                mark = tag not in ("html", "body") and bool(marks & REPLIES if tag in ("article", "main") else marks)
-                _, path, outside, article = stack[-1] if stack else ("", "", False, False)
-                outside = outside or tag in OUTSIDE or mark or (tag == "header" and not article)
-                inside = article or (tag in ("article", "main") and not outside)
-                path = f"{path}/{tag}{name}" if tag in BLOCKS else path
-                stack.append((tag, path, outside, inside))
-    rest = html[at:]
-    cut = re.search(r"<[a-zA-Z/!?]", rest)  # a tag that the page's end cuts off
-    parts.append(rest[: cut.start()] if cut else rest)
+                _, node, nearest, outside, article, rooted = stack[-1]
+                label, marked = read_attributes(tag, attributes, article or rooted) if "=" in attributes else ("", False)
+                outside = outside or tag in OUTSIDE or marked or (tag in ("header", "noscript") and not article)
+                article = article or (tag in ("article", "main") and not outside)
+                if block:
+                    node = Node(tag + label, child_key(node.key, tag + label), node.depth + 1, node)
+                    nearest, rooted = len(stack), rooted or node.key == root
+                stack.append((tag, node, nearest, outside, article, rooted))
+                opened[tag] += 1
+    if not raw:
+        parts.append(html[at:])
     close()
-    return out
-
-
-def tree(found: list[tuple[str, str, bool, bool]]) -> Node:
-    """The blocks of a page as a tree of their paths: a block that opens anew is a node of its own."""
-    root = Node("", "")
-    open_nodes = [root]
-    for path, text, _, _ in found:
-        steps = path.split("/")[1:]
-        depth = 0
-        while depth < len(steps) - 1 and depth + 1 < len(open_nodes) and open_nodes[depth + 1].label == steps[depth]:
-            depth += 1
-        del open_nodes[depth + 1 :]
-        for step in steps[depth:]:
-            node = Node(step, f"{open_nodes[-1].path}/{step}")
-            open_nodes[-1].children.append(node)
-            open_nodes.append(node)
-        open_nodes[-1].text.append(text)
-    return root
-
-
-def match(a: Node, b: Node) -> tuple[int, list[tuple[Node, Node]]]:
-    """Simple tree matching: the most nodes that two trees share in order, and the matched pairs."""
-    if a.label != b.label:
-        return 0, []
-    n, m = len(a.children), len(b.children)
-    if n * m > PAIRS:
-        seen, later = defaultdict(int), defaultdict(list)
-        for y in b.children:
-            later[y.label].append(y)
-        pairs, total = [(a, b)], 1
-        for x in a.children:
-            k = seen[x.label]
-            seen[x.label] += 1
-            if k < len(later[x.label]):
-                w, p = match(x, later[x.label][k])
-                total, pairs = total + w, pairs + p
-        return total, pairs
-    best = [[0] * (m + 1) for _ in range(n + 1)]
-    inner: dict[tuple[int, int], tuple[int, list]] = {}
-    for i, x in enumerate(a.children):
-        for j, y in enumerate(b.children):
-            w = 0
-            if x.label == y.label:
-                inner[i, j] = match(x, y)
-                w = inner[i, j][0]
-            best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + w)
-    pairs, i, j = [(a, b)], n, m
-    while i and j:
-        if (i - 1, j - 1) in inner and best[i][j] == best[i - 1][j - 1] + inner[i - 1, j - 1][0]:
-            pairs += inner[i - 1, j - 1][1]
-            i, j = i - 1, j - 1
-        elif best[i][j] == best[i - 1][j]:
-            i -= 1
-        else:
-            j -= 1
-    return best[n][m] + 1, pairs
+    return top, out
+
 
+class Matcher:
+    """Simple tree matching: the most nodes that two trees share, level by level and in order.
 
-def induce(pages: list[str]) -> tuple[list[str], str]:
-    """(template paths, content root) from a few pages of one host.
+    Equal subtrees have one shape, and a pair of shapes is scored once. Equal shapes at the start or the end of two lists of
+    children always belong together in a best matching; what remains between them goes through the usual table, row by row.
+    """
 
-    The first page's tree is aligned with all others. A path whose matched nodes hold the same text on all pages, and on
-    at least SAME of them, is template; the others are slots. The content root is the deepest path that holds four
-    fifths of the slots' text outside of menus and the like.
+    def __init__(self) -> None:
+        self.shapes: dict[tuple, int] = {}
+        self.labels: list[str] = []
+        self.inner: list[list[int]] = []
+        self.sizes: list[int] = []
+        self.scores: dict[tuple[int, int], int] = {}
+
+    def name(self, root: Node) -> None:
+        """Gives each node of a tree the number of its shape, children first."""
+        order = [root]
+        for node in order:
+            order.extend(node.children)
+        for node in reversed(order):
+            key = (node.label, *(c.shape for c in node.children))
+            node.shape = self.shapes.setdefault(key, len(self.labels))
+            if node.shape == len(self.labels):
+                self.labels.append(node.label)
+                self.inner.append([c.shape for c in node.children])
+                self.sizes.append(1 + sum(self.sizes[c.shape] for c in node.children))
+
+    @staticmethod
+    def trim(a: list[int], b: list[int]) -> tuple[int, int]:
+        """Lengths of the equal start and of the equal end."""
+        n, start, end = min(len(a), len(b)), 0, 0
+        while start < n and a[start] == b[start]:
+            start += 1
+        while end < n - start and a[-1 - end] == b[-1 - end]:
+            end += 1
+        return start, end
+
+    def weights(self, x: int, bs: list[int]) -> list[int]:
+        return [self.sizes[x] if x == y else self.scores[x, y] if self.labels[x] == self.labels[y] else 0 for y in bs]
+
+    def table(self, xs: list[int], ys: list[int]) -> np.ndarray:
+        """Best score of all xs with the first j of ys, for each j."""
+        best, rows = np.zeros(len(ys) + 1, dtype=np.int64), {}
+        for x in xs:
+            if x not in rows:
+                rows[x] = np.array(self.weights(x, ys), dtype=np.int64)
+            best[1:] = np.maximum.accumulate(np.maximum(best[1:], best[:-1] + rows[x]))
+        return best
+
+    def score(self, a: int, b: int) -> int:
+        """Shared nodes of two shapes."""
+        todo = [(a, b)]
+        while todo:
+            x, y = todo[-1]
+            if x == y or (x, y) in self.scores or self.labels[x] != self.labels[y]:
+                todo.pop()
+                continue
+            xs, ys = self.inner[x], self.inner[y]
+            start, end = self.trim(xs, ys)
+            left, right = xs[start : len(xs) - end], ys[start : len(ys) - end]
+            if left and right:
+                pairs = ((p, q) for p in set(left) for q in set(right))
+                missing = [(p, q) for p, q in pairs if p != q and self.labels[p] == self.labels[q] and (p, q) not in self.scores]
+                if missing:
+                    todo += missing
+                    continue
+            equal = sum(self.sizes[s] for s in xs[:start]) + sum(self.sizes[s] for s in xs[len(xs) - end :])
+            self.scores[x, y] = 1 + equal + (int(self.table(left, right)[-1]) if left and right else 0)
+            todo.pop()
+        return self.sizes[a] if a == b else self.scores.get((a, b), 0)
+
+    def pairs(self, a: Node, b: Node) -> list[tuple[Node, Node]]:
+        """The matched nodes of a best matching, by halving the first list until one element is left."""
+        self.name(a)
+        self.name(b)
+        if not self.score(a.shape, b.shape):
+            return []
+        out, todo = [], [(a, b)]
+        while todo:
+            x, y = todo.pop()
+            out.append((x, y))
+            spans = [(x.children, y.children)]
+            while spans:
+                xs, ys = spans.pop()
+                p, q = [n.shape for n in xs], [n.shape for n in ys]
+                start, end = self.trim(p, q)
+                todo += zip(xs[:start], ys[:start], strict=True)
+                todo += zip(xs[len(xs) - end :], ys[len(ys) - end :], strict=True)
+                xs, p, ys, q = xs[start : len(xs) - end], p[start : len(p) - end], ys[start : len(ys) - end], q[start : len(q) - end]
+                if not xs or not ys:
+                    continue
+                if len(xs) == 1:
+                    own = self.weights(p[0], q)
+                    if max(own):
+                        todo.append((xs[0], ys[own.index(max(own))]))
+                    continue
+                half = len(xs) // 2
+                both = self.table(p[:half], q) + self.table(p[half:][::-1], q[::-1])[::-1]
+                cut = int(both.argmax())
+                spans += [(xs[:half], ys[:cut]), (xs[half:], ys[cut:])]
+        return out
+
+
+def align(html: str, references: list[tuple[str, Node]], matcher: Matcher) -> tuple[dict[int, bool], list[tuple[int, int, int]]]:
+    """What one page says about the wrapper of its host.
+
+    (constants, masses): for each node of a reference that the page has too, whether the text is the same; and the length of the
+    text of the page's other nodes outside of menus and the like, summed up to every element but passages such as paragraphs, as
+    (key, depth, length).
+    """
+    top, blocks = parse(html)
+    seen: dict[int, bool] = {}
+    same: set[int] = set()
+    for other, reference in references:
+        if other == html:
+            continue  # copies say nothing
+        for x, y in matcher.pairs(reference, top):
+            if x.text:
+                constant = x.constant()
+                equal = x.text == y.text
+                seen[constant] = seen.get(constant, False) or equal
+                if equal:
+                    same.add(id(y))
+    if not any(other != html for other, _ in references):
+        return {}, []
+    mass: dict[int, list[int]] = {}
+    nodes: dict[int, Node] = {}
+    for b in blocks:
+        if not b.outside and id(b.node) not in same:
+            mass.setdefault(id(b.node), [0])[0] += len(b.text)
+            nodes[id(b.node)] = b.node
+    own: dict[int, list[int]] = {}
+    order = sorted(nodes.values(), key=lambda n: -n.depth)
+    deepest = order[0].depth if order else 0
+    levels: list[dict[int, Node]] = [{} for _ in range(deepest + 1)]
+    for n in order:
+        levels[n.depth][id(n)] = n
+    for level in reversed(levels):
+        for i, n in level.items():
+            size = mass[i][0]
+            if n.label.split(".")[0] not in PASSAGES:
+                own.setdefault(n.key, [n.depth, 0])[1] += size
+            if n.parent is not None:
+                mass.setdefault(id(n.parent), [0])[0] += size
+                levels[n.depth - 1][id(n.parent)] = n.parent
+    return seen, [(key, depth, size) for key, (depth, size) in own.items()]
+
+
+def signed(key: int) -> int:
+    return key - (1 << 64) if key >> 63 else key
+
+
+SEEN = "host string, kind string, key long, n long, m long"
+
+
+def _observe(rows: DataFrame) -> DataFrame:
+    """What all pages say, from rows (host, salt, page, html) that are sorted, references (page false) before pages; summed in tasks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, references, matcher, found = None, [], Matcher(), {}
+
+        def flush() -> pa.RecordBatch:
+            columns = list(zip(*((group[0], kind, signed(key), n, m) for (kind, key), (n, m) in found.items()), strict=True)) or [()] * 5
+            kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
+            found.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["host", "kind", "key", "n", "m"])
+
+        for batch in batches:
+            hosts, salts, pages = (batch.column(i).to_pylist() for i in range(3))
+            for host, salt, is_page, html in zip(hosts, salts, pages, batch.column(3), strict=True):
+                if (host, salt) != group or len(found) > 200_000 or len(matcher.scores) > 1_000_000:
+                    if found:
+                        yield flush()
+                    if (host, salt) != group:
+                        group, references = (host, salt), []
+                    matcher = Matcher()
+                html = html.as_py()
+                if not is_page:
+                    references.append((html, parse(html)[0]))
+                    continue
+                seen, masses = align(html, references, matcher)
+                for key, equal in seen.items():
+                    cell = found.setdefault(("constant", key), [0, 0])
+                    cell[0] += 1
+                    cell[1] += equal
+                for key, depth, size in masses:
+                    cell = found.setdefault(("mass", key), [0, depth])
+                    cell[0] += size
+        if found:
+            yield flush()
+
+    return rows.mapInArrow(run, SEEN).groupBy("host", "kind", "key").agg(F.sum("n").alias("n"), F.sum("m").alias("same"), F.max("m").alias("depth"))
+
+
+def judge(seen: DataFrame) -> DataFrame:
+    """(host, template, root) from the sums over all pages: the constants, and the deepest element (not the page's top) that holds four
+    fifths of what varies."""
+    constant = seen.where((F.col("kind") == "constant") & (F.col("same") >= SAME - 1) & (2 * F.col("same") >= F.col("n")))
+    template = constant.groupBy("host").agg(F.collect_list("key").alias("template"))  # at most the nodes of the references
+    mass = seen.where("kind = 'mass'")
+    total = mass.where("depth = 0").select("host", F.col("n").alias("total"))
+    top = [signed(path_key(p)) for p in ("", "/html", "/body", "/html/body")]
+    large = mass.where(~F.col("key").isin(top)).join(total, "host").where(5 * F.col("n") >= 4 * F.col("total"))
+    root = large.groupBy("host").agg(F.max_by("key", F.struct("depth", "key")).alias("root"))
+    return template.join(root, "host", "full")
+
+
+def induce(pages: list[str]) -> tuple[list[int], int | None]:
+    """(template constants, content root) of a few pages of one host; what wrappers() does for all hosts."""
+    pages = list(pages)
+    references = [(html, parse(html)[0]) for html in pages[:REFERENCES]]
+    seen, masses, depths = {}, Counter(), {}
+    for html in pages:
+        found, sizes = align(html, references, Matcher())
+        for key, equal in found.items():
+            cell = seen.setdefault(key, [0, 0])
+            cell[0] += 1
+            cell[1] += equal
+        for key, depth, size in sizes:
+            masses[key] += size
+            depths[key] = depth
+    template = sorted(k for k, (n, same) in seen.items() if same >= SAME - 1 and 2 * same >= n)
+    top = {path_key(p) for p in ("", "/html", "/body", "/html/body")}
+    roots = [k for k, n in masses.items() if k not in top and 5 * n >= 4 * masses[0]]
+    return template, max(roots, key=lambda k: (depths[k], k), default=None)
+
+
+def main_text(html: str | None, template: list[int] | None = None, root: int | None = None) -> str:
+    """The page's article: its article or main element if it has one, else all blocks that vary and all inside the content root.
+
+    Menus, forms, marked elements and the like are left out everywhere; a node that the template knows with just this text is left
+    out unless it stands inside the article or the root.
     """
-    found = [blocks(p) for p in dict.fromkeys(pages)]
-    trees = [tree(f) for f in found]
-    same, differ = defaultdict(int), set()
-    for other in trees[1:]:
-        for x, y in match(trees[0], other)[1]:
-            if x.text or y.text:
-                if x.text == y.text:
-                    same[x.path] += 1
-                else:
-                    differ.add(x.path)
-    template = sorted(p for p, n in same.items() if p not in differ and n + 1 >= max(SAME, len(trees)))
-    mass, total = defaultdict(int), 0
-    for f in found:
-        for path, text, outside, _ in f:
-            if not outside and path not in template:
-                total += len(text)
-                steps = path.split("/")
-                for k in range(2, len(steps)):
-                    mass["/".join(steps[:k])] += len(text)
-    roots = [p for p, n in mass.items() if 5 * n >= 4 * total]
-    return template, max(roots, key=lambda p: (p.count("/"), p), default="")
-
-
-def main_text(html: str | None, template: list[str] | None = None, root: str | None = None) -> str:
-    """The page's slots inside its article or main element, else inside the wrapper's content root, else anywhere."""
     if not html:
         return ""
-    fixed = set(template or ())
-    kept = [b for b in blocks(html) if not b[2] and b[0] not in fixed]
-    if any(b[3] for b in kept):
-        kept = [b for b in kept if b[3]]
-    elif root:
-        kept = [b for b in kept if b[0] == root or b[0].startswith(root + "/")] or kept
-    return "\n\n".join(b[1] for b in kept)
+    fixed = {k & MASK for k in template} if template is not None and len(template) else set()
+    _, blocks = parse(html, None if root is None else root & MASK)
+    kept = [b for b in blocks if not b.outside]
+    if any(b.article for b in kept):
+        kept = [b for b in kept if b.article]
+    elif fixed:
+        kept = [b for b in kept if b.rooted or b.node.constant() not in fixed]
+    return "\n\n".join(b.text for b in kept)
 
 
 def wrappers(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(host, template, root): a wrapper for each host, from at most SAMPLE of its pages.
+    """(host, template, root): a wrapper for each host of SAME pages or more.
 
-    The rank within the host is limited before the shuffle, so a host with a third of all pages sends no more than others.
+    A few pages of a host serve as references; all its pages are aligned with them, and constants and slots are counted over
+    all. The pages of a large host are dealt over tasks by a salt, its references copied to each.
     """
-    own = pages.select(url_host(F.col(url_col)).alias("host"), F.xxhash64(F.col(id_col)).alias("order"), F.col(html_col).alias("html")).where("html is not null and host <> ''")
+    own = pages.select(url_host(F.col(url_col)).alias("host"), F.xxhash64(F.col(id_col)).alias("order"), F.col(html_col).cast("string").alias("html"))
+    own = own.where("html is not null and html <> '' and host <> ''")
+    sizes = own.groupBy("host").agg(F.ceil(F.count("*") / HOST_PAGES).cast("int").alias("salts"), F.count("*").alias("pages"))
+    sizes = sizes.where(F.col("pages") >= SAME)
+    # The rank within the host is limited before the shuffle, so a host with a third of all pages sends no more than others.
     rank = F.row_number().over(W.partitionBy("host").orderBy("order", F.xxhash64("html")))
-    some = own.withColumn("rank", rank).where(F.col("rank") <= SAMPLE).select("host", "html")
-
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        template, root = induce(sorted(rows["html"]))
-        return pd.DataFrame({"host": [rows["host"].iloc[0]], "template": [template], "root": [root]})
-
-    return some.groupBy("host").applyInPandas(one, "host string, template array<string>, root string")
+    picked = own.withColumn("rank", rank).where(F.col("rank") <= REFERENCES).join(sizes, "host")
+    references = picked.select("host", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(False).alias("page"), "html")
+    dealt = own.join(sizes, "host").select("host", F.pmod("order", "salts").cast("int").alias("salt"), F.lit(True).alias("page"), "html")
+    rows = references.unionByName(dealt).repartition("host", "salt").sortWithinPartitions("host", "salt", "page")
+    seen = materialize(_observe(rows), "page-nodes")
+    found = materialize(judge(seen), "wrappers")
+    drop_tables(seen)
+    return found
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(page_id, url, text): the main text of every page.
 
-    Null html gives an empty text; a page without a host, or with a host of one page, is read without a wrapper; repeated
-    rows are read each; an empty table gives an empty result; columns other than the three named are ignored.
+    Null html gives an empty text; a page without a host, or of a host with fewer than SAME pages, is read without a wrapper;
+    repeated rows are read each; an empty table gives an empty result; columns other than the three named are ignored.
     """
-    learned = materialize(wrappers(pages, id_col, url_col, html_col).where("size(template) > 0 or root <> ''"), "wrappers")
     picked = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
+    learned = wrappers(pages, id_col, url_col, html_col)
     joined = picked.withColumn("host", url_host(F.col("url"))).join(learned, "host", "left").select("page_id", "url", "html", "template", "root")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = [main_text(h.as_py(), t, r) for h, t, r in zip(batch.column(2), batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)]
+        wanted = zip(batch.column(2), batch.column(3), batch.column(4).to_pylist(), strict=True)
+        texts = [main_text(h.as_py(), t.values.to_pylist() if t.is_valid else None, r) for h, t, r in wanted]
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
     return flat_map(joined, run, "page_id long, url string, text string")

@@ -5,6 +5,7 @@ import itertools
 import math
 import random
 import re
+import time
 import struct
 import zlib
 from collections import Counter, defaultdict
@@ -278,11 +279,69 @@ def test_main_text(body, want):
 def test_wrappers_tell_template_from_slots():
     pages = [f"<body><div class=top>Daily News</div><div class=x><div class=story><p>Story {i} text that is long enough</p><p>More {i} of it</p></div><div class=hint>Read us daily</div></div></body>" for i in range(5)]
     template, root = html_text.induce(pages)
-    assert template == ["/body/div.top", "/body/div.x/div.hint"] and root == "/body/div.x/div.story"
+    # Constants are kept with their text; the one node of the root holds the story.
+    want = {("/body/div.top", "Daily News"), ("/body/div.x/div.hint", "Read us daily")}
+    assert set(template) == {html_text.Node("", html_text.path_key(p), text=[t]).constant() for p, t in want}
+    assert root == html_text.path_key("/body/div.x/div.story")
     assert html_text.main_text(pages[3].replace("3", "9"), template, root) == "Story 9 text that is long enough\n\nMore 9 of it"
+    # The same place with another text is a slot; slots outside the root are content as well.
+    assert html_text.main_text(pages[3].replace("Daily News", "Lead"), template, root).startswith("Lead\n\nStory 3")
     assert html_text.induce(pages[:1])[0] == [] and html_text.induce([pages[0]] * 5)[0] == []  # copies say nothing
 
 
+def plain_matching(a, b):
+    """Simple tree matching by its definition."""
+    if a.label != b.label:
+        return 0
+    m = [[0] * (len(b.children) + 1) for _ in range(len(a.children) + 1)]
+    for i, x in enumerate(a.children):
+        for j, y in enumerate(b.children):
+            m[i + 1][j + 1] = max(m[i][j + 1], m[i + 1][j], m[i][j] + plain_matching(x, y))
+    return m[-1][-1] + 1
+
+
+def test_matching_is_best():
+    rng = random.Random(3)
+
+    def grow(depth):
+        return html_text.Node(rng.choice("abc"), children=[grow(depth - 1) for _ in range(rng.randrange(5))] if depth else [])
+
+    for _ in range(200):
+        a, b = (html_text.Node("r", children=[grow(3) for _ in range(4)]) for _ in range(2))
+        got = html_text.Matcher().pairs(a, b)
+        assert len(got) == plain_matching(a, b) and all(x.label == y.label for x, y in got)
+        assert len({id(x) for x, _ in got}) == len({id(y) for _, y in got}) == len(got)
+
+
+def test_constants_inside_the_article_stay():
+    story = "<article><h2>Introduction</h2><p>Text {i} and more of it</p><div class='share-of-market'>Shares {i}</div><div id='related-work'>Work {i}</div><p class='notice-period'>A month {i}</p><math><mi>x</mi></math><h3>Summary</h3></article>"
+    pages = [f"<body><div class=top>Daily News</div>{story.format(i=i)}<div class='social-share'>Share {i}</div></body>" for i in range(6)]
+    template, root = html_text.induce(pages)
+    want = ["Introduction", "Text 4 and more of it", "Shares 4", "Work 4", "A month 4", "x", "Summary"]
+    assert html_text.main_text(pages[4], template, root) == "\n\n".join(want) == html_text.main_text(pages[4])
+    # Without an article element the content root does the same.
+    pages = [p.replace("<article>", "<div class=story>").replace("</article>", "</div>") for p in pages]
+    template, root = html_text.induce(pages)
+    assert html_text.main_text(pages[4], template, root) == "\n\n".join(want)
+    other = pages[4].replace("Introduction", "Overture")
+    assert html_text.main_text(other, template, root) == "\n\n".join(["Overture", *want[1:]])
+
+
+@pytest.mark.parametrize("html", ["<a " * 350_000, "<a href='" * 120_000, '<a ="' * 200_000, "<" * 1_000_000, "<b>" * 100_000 + "<hr>" * 100_000, "<div>" * 5000 + "</x>" * 200_000, "<script>" * 120_000, "<!--" * 250_000, "</" * 500_000, "&" * 1_000_000])
+def test_hostile_markup_takes_linear_time(html):
+    start = time.time()
+    html_text.main_text("<p>a</p>" + html)
+    assert time.time() - start < 20
+
+
+def test_deep_and_wide_pages_of_one_host(spark):
+    deep = ["<div>" * 5000 + f"deep {i}" + "</div>x" * 5000 for i in range(3)]
+    wide = ["".join(f"<p class={'abc'[(i * k) % 3]}>w {i} {k}</p>" for k in range(2000)) for i in range(4)]
+    pages = spark.createDataFrame([(i, "http://h/", h) for i, h in enumerate(deep + wide)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_text.extract(pages).collect()}
+    assert got[1].startswith("deep 1") and all(got[3 + i].split("\n\n") == [f"w {i} {k}" for k in range(2000)] for i in range(4))
+
+
 def test_extraction(spark, small):
     pages = pd.read_parquet(f"{small}/pages.parquet")
     got = queries.QUERIES["op5_html_extraction"](spark, small).toPandas().set_index("page_id")
