@@ -52,6 +52,7 @@ BESIDE = set(
 REPLIES = {"comment", "comments", "reply", "replies", "disqus"}
 
 TAG_NAME = re.compile(r"/?[a-zA-Z][^\s/>]*")
+PLAIN_TAG = re.compile(r"<(/?[a-zA-Z][^\s/>]*)[^>=]*>")
 QUOTE_OR_END = re.compile(r""">|=\s*["']""")
 ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
@@ -71,10 +72,13 @@ class Node:
     children: list[Node] = field(default_factory=list)
     linked: bool = False
     shape: int = -1
+    known: int | None = None
 
     def constant(self) -> int:
         """A hash of where the node is and what it says."""
-        return xxhash.xxh64_intdigest("\n".join(self.text).encode("utf-8", "surrogatepass"), self.key)
+        if self.known is None:
+            self.known = xxhash.xxh64_intdigest("\n".join(self.text).encode("utf-8", "surrogatepass"), self.key)
+        return self.known
 
 
 @dataclass(slots=True)
@@ -133,6 +137,10 @@ def tags(html: str) -> Iterator[tuple[int, int, str, str]]:
     """
     at, last = 0, {q: html.rfind(q) for q in "\"'"}
     while (start := html.find("<", at)) >= 0:
+        if (plain := PLAIN_TAG.match(html, start)) and (name := plain[1].lower()) not in RAW:
+            at = plain.end()
+            yield start, at, name, ""
+            continue
         if html.startswith("<!--", start):
             end = html.find("-->", start + 4)
             at = len(html) if end < 0 else end + 3
@@ -249,7 +257,7 @@ class Matcher:
     """
 
     def __init__(self) -> None:
-        self.shapes: dict[tuple, int] = {}
+        self.shapes: dict[tuple | str, int] = {}
         self.labels: list[str] = []
         self.inner: list[list[int]] = []
         self.sizes: list[int] = []
@@ -261,12 +269,15 @@ class Matcher:
         for node in order:
             order.extend(node.children)
         for node in reversed(order):
-            key = (node.label, *(c.shape for c in node.children))
-            node.shape = self.shapes.setdefault(key, len(self.labels))
-            if node.shape == len(self.labels):
+            inner = [c.shape for c in node.children]
+            key = (node.label, *inner) if inner else node.label
+            shape = self.shapes.get(key)
+            if shape is None:
+                shape = self.shapes[key] = len(self.labels)
                 self.labels.append(node.label)
-                self.inner.append([c.shape for c in node.children])
-                self.sizes.append(1 + sum(self.sizes[c.shape] for c in node.children))
+                self.inner.append(inner)
+                self.sizes.append(1 + sum(self.sizes[i] for i in inner))
+            node.shape = shape
 
     @staticmethod
     def trim(a: list[int], b: list[int]) -> tuple[int, int]:
@@ -313,12 +324,15 @@ class Matcher:
         return self.sizes[a] if a == b else self.scores.get((a, b), 0)
 
     def pairs(self, a: Node, b: Node) -> list[tuple[Node, Node]]:
-        """The matched nodes of a best matching, by halving the first list until one element is left."""
-        self.name(a)
-        self.name(b)
+        """The matched nodes of a best matching of two named trees, by halving the first list until one element is left."""
         if not self.score(a.shape, b.shape):
             return []
         out, todo = [], [(a, b)]
+
+        def take(xs: list[Node], ys: list[Node]) -> None:
+            for pair in zip(xs, ys, strict=True):
+                (todo if pair[0].children and pair[1].children else out).append(pair)
+
         while todo:
             x, y = todo.pop()
             out.append((x, y))
@@ -327,15 +341,15 @@ class Matcher:
                 xs, ys = spans.pop()
                 p, q = [n.shape for n in xs], [n.shape for n in ys]
                 start, end = self.trim(p, q)
-                todo += zip(xs[:start], ys[:start], strict=True)
-                todo += zip(xs[len(xs) - end :], ys[len(ys) - end :], strict=True)
+                take(xs[:start], ys[:start])
+                take(xs[len(xs) - end :], ys[len(ys) - end :])
                 xs, p, ys, q = xs[start : len(xs) - end], p[start : len(p) - end], ys[start : len(ys) - end], q[start : len(q) - end]
                 if not xs or not ys:
                     continue
                 if len(xs) == 1:
                     own = self.weights(p[0], q)
                     if max(own):
-                        todo.append((xs[0], ys[own.index(max(own))]))
+                        take(xs, [ys[own.index(max(own))]])
                     continue
                 half = len(xs) // 2
                 both = self.table(p[:half], q) + self.table(p[half:][::-1], q[::-1])[::-1]
@@ -347,16 +361,18 @@ class Matcher:
 def align(html: str, references: list[tuple[str, Node]], matcher: Matcher) -> tuple[dict[int, bool], list[tuple[int, int, int]]]:
     """What one page says about the wrapper of its host.
 
-    (constants, masses): for each node of a reference that the page has too, whether the text is the same; and the length of the
+    The references are named by the matcher. (constants, masses): for each node of a reference that the page has too, whether the text is the same; and the length of the
     text of the page's other nodes outside of menus and the like, summed up to every element but passages such as paragraphs, as
     (key, depth, length).
     """
+    others = [reference for other, reference in references if other != html]  # copies say nothing
+    if not others:
+        return {}, []
     top, blocks = parse(html)
+    matcher.name(top)
     seen: dict[int, bool] = {}
     same: set[int] = set()
-    for other, reference in references:
-        if other == html:
-            continue  # copies say nothing
+    for reference in others:
         for x, y in matcher.pairs(reference, top):
             if x.text:
                 constant = x.constant()
@@ -364,8 +380,6 @@ def align(html: str, references: list[tuple[str, Node]], matcher: Matcher) -> tu
                 seen[constant] = seen.get(constant, False) or equal
                 if equal:
                     same.add(id(y))
-    if not any(other != html for other, _ in references):
-        return {}, []
     mass: dict[int, list[int]] = {}
     nodes: dict[int, Node] = {}
     for b in blocks:
@@ -417,9 +431,12 @@ def _observe(rows: DataFrame) -> DataFrame:
                     if (host, salt) != group:
                         group, references = (host, salt), []
                     matcher = Matcher()
+                    for _, reference in references:
+                        matcher.name(reference)
                 html = html.as_py()
                 if not is_page:
                     references.append((html, parse(html)[0]))
+                    matcher.name(references[-1][1])
                     continue
                 seen, masses = align(html, references, matcher)
                 for key, equal in seen.items():
@@ -452,9 +469,11 @@ def induce(pages: list[str]) -> tuple[list[int], int | None]:
     """(template constants, content root) of a few pages of one host; what wrappers() does for all hosts."""
     pages = list(pages)
     references = [(html, parse(html)[0]) for html in pages[:REFERENCES]]
-    seen, masses, depths = {}, Counter(), {}
+    seen, masses, depths, matcher = {}, Counter(), {}, Matcher()
+    for _, reference in references:
+        matcher.name(reference)
     for html in pages:
-        found, sizes = align(html, references, Matcher())
+        found, sizes = align(html, references, matcher)
         for key, equal in found.items():
             cell = seen.setdefault(key, [0, 0])
             cell[0] += 1

@@ -308,7 +308,10 @@ def test_matching_is_best():
 
     for _ in range(200):
         a, b = (html_text.Node("r", children=[grow(3) for _ in range(4)]) for _ in range(2))
-        got = html_text.Matcher().pairs(a, b)
+        matcher = html_text.Matcher()
+        matcher.name(a)
+        matcher.name(b)
+        got = matcher.pairs(a, b)
         assert len(got) == plain_matching(a, b) and all(x.label == y.label for x, y in got)
         assert len({id(x) for x, _ in got}) == len({id(y) for _, y in got}) == len(got)
 
