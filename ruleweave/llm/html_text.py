@@ -22,7 +22,9 @@ from ruleweave.llm.url_filter import url_host
 #: is the same on at least SAME different pages and on half of those that have the node.
 REFERENCES, SAME = 4, 3
 #: Pages of a host that one task aligns; a host with more has its references in several tasks.
-HOST_PAGES = 5000
+HOST_PAGES = 500
+#: Hosts with more than HOST_PAGES pages that are broadcast at most; of more the pages meet the hosts in a shuffled join.
+LARGE_HOSTS = 200_000
 
 #: Fixed values of HTML: elements whose content is raw text, that have no content, that make blocks, that are never article.
 RAW = {"script", "style", "textarea", "title", "iframe", "noembed"}
@@ -72,13 +74,12 @@ class Node:
     children: list[Node] = field(default_factory=list)
     linked: bool = False
     shape: int = -1
-    known: int | None = None
+    size: int = 0  # characters of text outside of menus and the like
+    known: int | None = None  # constant() of a node with text in a tree made from an outline
 
     def constant(self) -> int:
         """A hash of where the node is and what it says."""
-        if self.known is None:
-            self.known = xxhash.xxh64_intdigest("\n".join(self.text).encode("utf-8", "surrogatepass"), self.key)
-        return self.known
+        return xxhash.xxh64_intdigest("\n".join(self.text).encode("utf-8", "surrogatepass"), self.key)
 
 
 @dataclass(slots=True)
@@ -90,6 +91,10 @@ class Block:
     rooted: bool
 
 
+def signed(key: int) -> int:
+    return key - (1 << 64) if key >> 63 else key
+
+
 def child_key(key: int, label: str) -> int:
     return xxhash.xxh64_intdigest(label.encode("utf-8", "surrogatepass"), key)
 
@@ -102,6 +107,10 @@ def path_key(path: str) -> int:
     return key
 
 
+#: Elements that are whole pages.
+TOPS = [signed(path_key(p)) for p in ("", "/html", "/body", "/html/body")]
+
+
 def marks(words: list[str]) -> set[str]:
     """What marks a name as none of the article's, if the whole name says so."""
     found = set(words)
@@ -358,73 +367,105 @@ class Matcher:
         return out
 
 
-def align(html: str, references: list[tuple[str, Node]], matcher: Matcher) -> tuple[dict[int, bool], list[tuple[int, int, int]]]:
-    """What one page says about the wrapper of its host.
+Outline = tuple[list[int], list[str], list[int | None], list[int]]
+
 
-    The references are named by the matcher. (constants, masses): for each node of a reference that the page has too, whether the text is the same; and the length of the
+def outline(html: str) -> Outline:
+    """(depths, labels, constants, sizes) of the nodes of a page's tree, parents first: all that an alignment needs of it."""
+    top, blocks = parse(html)
+    for b in blocks:
+        if not b.outside:
+            b.node.size += len(b.text)
+    out: Outline = ([], [], [], [])
+    todo = [top]
+    while todo:
+        node = todo.pop()
+        for column, value in zip(out, (node.depth, node.label, signed(node.constant()) if node.text else None, node.size), strict=True):
+            column.append(value)
+        todo += reversed(node.children)
+    return out
+
+
+def grow(found: Outline) -> tuple[Node, list[Node]]:
+    """The tree of an outline: its top and all its nodes, parents first. Only depths between linked nodes count."""
+    nodes: list[Node] = []
+    chain: list[Node] = []
+    for depth, label, constant, size in zip(*found, strict=True):
+        del chain[depth:]
+        parent = chain[-1] if chain else None
+        node = Node(label, child_key(parent.key, label) if parent else 0, depth, parent, size=size, known=constant)
+        if parent:
+            parent.children.append(node)
+        chain.append(node)
+        nodes.append(node)
+    return nodes[0], nodes
+
+
+def align(found: Outline, references: list[Node], matcher: Matcher) -> tuple[dict[int, bool], list[tuple[int, int, int]]]:
+    """What one page says about the wrapper of its host, aligned with references that the matcher has named.
+
+    (constants, masses): for each node of a reference that the page has too, whether the text is the same; and the length of the
     text of the page's other nodes outside of menus and the like, summed up to every element but passages such as paragraphs, as
     (key, depth, length).
     """
-    others = [reference for other, reference in references if other != html]  # copies say nothing
-    if not others:
-        return {}, []
-    top, blocks = parse(html)
+    top, nodes = grow(found)
     matcher.name(top)
     seen: dict[int, bool] = {}
-    same: set[int] = set()
-    for reference in others:
+    for reference in references:
         for x, y in matcher.pairs(reference, top):
-            if x.text:
-                constant = x.constant()
-                equal = x.text == y.text
-                seen[constant] = seen.get(constant, False) or equal
+            if x.known is not None:
+                equal = x.known == y.known
+                seen[x.known] = seen.get(x.known, False) or equal
                 if equal:
-                    same.add(id(y))
-    mass: dict[int, list[int]] = {}
-    nodes: dict[int, Node] = {}
-    for b in blocks:
-        if not b.outside and id(b.node) not in same:
-            mass.setdefault(id(b.node), [0])[0] += len(b.text)
-            nodes[id(b.node)] = b.node
-    own: dict[int, list[int]] = {}
-    order = sorted(nodes.values(), key=lambda n: -n.depth)
-    deepest = order[0].depth if order else 0
-    levels: list[dict[int, Node]] = [{} for _ in range(deepest + 1)]
-    for n in order:
-        levels[n.depth][id(n)] = n
-    for level in reversed(levels):
-        for i, n in level.items():
-            size = mass[i][0]
-            if n.label.split(".")[0] not in PASSAGES:
-                own.setdefault(n.key, [n.depth, 0])[1] += size
+                    y.size = 0
+    masses: dict[int, list[int]] = {}
+    for n in reversed(nodes):
+        if n.size:
+            if n.label.split(".", 1)[0] not in PASSAGES:
+                masses.setdefault(n.key, [n.depth, 0])[1] += n.size
             if n.parent is not None:
-                mass.setdefault(id(n.parent), [0])[0] += size
-                levels[n.depth - 1][id(n.parent)] = n.parent
-    return seen, [(key, depth, size) for key, (depth, size) in own.items()]
+                n.parent.size += n.size
+    return seen, [(signed(key), depth, size) for key, (depth, size) in masses.items()]
 
 
-def signed(key: int) -> int:
-    return key - (1 << 64) if key >> 63 else key
+OUTLINE = "depths array<int>, labels array<string>, constants array<long>, sizes array<int>"
+
+
+def outlines(pages: DataFrame) -> DataFrame:
+    """(host, order, copy, depths, labels, constants, sizes) of pages (host, order, html); copy is a hash of the html."""
+    kinds = [pa.list_(pa.int32()), pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.int32())]
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        copies, found = [], ([], [], [], [])
+        for html in batch.column(2).to_pylist():
+            copies.append(signed(xxhash.xxh64_intdigest(html.encode("utf-8", "surrogatepass"))))
+            for column, value in zip(found, outline(html), strict=True):
+                column.append(value)
+        columns = [batch.column(0), batch.column(1), pa.array(copies, pa.int64()), *(pa.array(c, k) for c, k in zip(found, kinds, strict=True))]
+        return pa.RecordBatch.from_arrays(columns, ["host", "order", "copy", "depths", "labels", "constants", "sizes"])
+
+    return flat_map(pages, run, f"host string, order long, copy long, {OUTLINE}")
 
 
 SEEN = "host string, kind string, key long, n long, m long"
 
 
 def _observe(rows: DataFrame) -> DataFrame:
-    """What all pages say, from rows (host, salt, page, html) that are sorted, references (page false) before pages; summed in tasks."""
+    """What all pages say, from rows (host, salt, page, copy, outline) that are sorted, references (page false) first; summed in tasks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, references, matcher, found = None, [], Matcher(), {}
 
         def flush() -> pa.RecordBatch:
-            columns = list(zip(*((group[0], kind, signed(key), n, m) for (kind, key), (n, m) in found.items()), strict=True)) or [()] * 5
+            columns = list(zip(*((group[0], kind, key, n, m) for (kind, key), (n, m) in found.items()), strict=True)) or [()] * 5
             kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
             found.clear()
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["host", "kind", "key", "n", "m"])
 
         for batch in batches:
-            hosts, salts, pages = (batch.column(i).to_pylist() for i in range(3))
-            for host, salt, is_page, html in zip(hosts, salts, pages, batch.column(3), strict=True):
+            names = [batch.column(i).to_pylist() for i in range(4)]
+            for host, salt, is_page, copy, *page in zip(*names, *batch.columns[4:], strict=True):
+                page = [c.as_py() for c in page]
                 if (host, salt) != group or len(found) > 200_000 or len(matcher.scores) > 1_000_000:
                     if found:
                         yield flush()
@@ -433,12 +474,14 @@ def _observe(rows: DataFrame) -> DataFrame:
                     matcher = Matcher()
                     for _, reference in references:
                         matcher.name(reference)
-                html = html.as_py()
                 if not is_page:
-                    references.append((html, parse(html)[0]))
+                    references.append((copy, grow(page)[0]))
                     matcher.name(references[-1][1])
                     continue
-                seen, masses = align(html, references, matcher)
+                others = [reference for other, reference in references if other != copy]  # copies say nothing
+                if not others:
+                    continue
+                seen, masses = align(page, others, matcher)
                 for key, equal in seen.items():
                     cell = found.setdefault(("constant", key), [0, 0])
                     cell[0] += 1
@@ -459,21 +502,20 @@ def judge(seen: DataFrame) -> DataFrame:
     template = constant.groupBy("host").agg(F.collect_list("key").alias("template"))  # at most the nodes of the references
     mass = seen.where("kind = 'mass'")
     total = mass.where("depth = 0").select("host", F.col("n").alias("total"))
-    top = [signed(path_key(p)) for p in ("", "/html", "/body", "/html/body")]
-    large = mass.where(~F.col("key").isin(top)).join(total, "host").where(5 * F.col("n") >= 4 * F.col("total"))
+    large = mass.where(~F.col("key").isin(TOPS)).join(total, "host").where(5 * F.col("n") >= 4 * F.col("total"))
     root = large.groupBy("host").agg(F.max_by("key", F.struct("depth", "key")).alias("root"))
     return template.join(root, "host", "full")
 
 
 def induce(pages: list[str]) -> tuple[list[int], int | None]:
     """(template constants, content root) of a few pages of one host; what wrappers() does for all hosts."""
-    pages = list(pages)
-    references = [(html, parse(html)[0]) for html in pages[:REFERENCES]]
+    references = [(html, grow(outline(html))[0]) for html in pages[:REFERENCES]]
     seen, masses, depths, matcher = {}, Counter(), {}, Matcher()
     for _, reference in references:
         matcher.name(reference)
     for html in pages:
-        found, sizes = align(html, references, matcher)
+        others = [reference for other, reference in references if other != html]
+        found, sizes = align(outline(html), others, matcher) if others else ({}, [])
         for key, equal in found.items():
             cell = seen.setdefault(key, [0, 0])
             cell[0] += 1
@@ -482,8 +524,7 @@ def induce(pages: list[str]) -> tuple[list[int], int | None]:
             masses[key] += size
             depths[key] = depth
     template = sorted(k for k, (n, same) in seen.items() if same >= SAME - 1 and 2 * same >= n)
-    top = {path_key(p) for p in ("", "/html", "/body", "/html/body")}
-    roots = [k for k, n in masses.items() if k not in top and 5 * n >= 4 * masses[0]]
+    roots = [k for k, n in masses.items() if k not in TOPS and 5 * n >= 4 * masses[0]]
     return template, max(roots, key=lambda k: (depths[k], k), default=None)
 
 
@@ -506,32 +547,36 @@ def main_text(html: str | None, template: list[int] | None = None, root: int | N
 
 
 def wrappers(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(host, template, root): a wrapper for each host of SAME pages or more.
+    """(host, template, root): a wrapper for each host.
 
     A few pages of a host serve as references; all its pages are aligned with them, and constants and slots are counted over
-    all. The pages of a large host are dealt over tasks by a salt, its references copied to each.
+    all. Pages travel as outlines of their trees. The pages of a large host are dealt over tasks by a salt, its references
+    copied to each.
     """
     own = pages.select(url_host(F.col(url_col)).alias("host"), F.xxhash64(F.col(id_col)).alias("order"), F.col(html_col).cast("string").alias("html"))
     own = own.where("html is not null and html <> '' and host <> ''")
-    sizes = own.groupBy("host").agg(F.ceil(F.count("*") / HOST_PAGES).cast("int").alias("salts"), F.count("*").alias("pages"))
-    sizes = sizes.where(F.col("pages") >= SAME)
+    large = own.groupBy("host").agg(F.ceil(F.count("*") / HOST_PAGES).cast("int").alias("salts")).where("salts > 1")
+    large = materialize(large, "large-hosts")
+    pages = materialize(outlines(own), "outlines")
+    found = pages.join(F.broadcast(large) if large.count() <= LARGE_HOSTS else large, "host", "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
+    columns = ["copy", "depths", "labels", "constants", "sizes"]
     # The rank within the host is limited before the shuffle, so a host with a third of all pages sends no more than others.
-    rank = F.row_number().over(W.partitionBy("host").orderBy("order", F.xxhash64("html")))
-    picked = own.withColumn("rank", rank).where(F.col("rank") <= REFERENCES).join(sizes, "host")
-    references = picked.select("host", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(False).alias("page"), "html")
-    dealt = own.join(sizes, "host").select("host", F.pmod("order", "salts").cast("int").alias("salt"), F.lit(True).alias("page"), "html")
+    rank = F.row_number().over(W.partitionBy("host").orderBy("order", "copy"))
+    picked = found.withColumn("rank", rank).where(F.col("rank") <= REFERENCES)
+    references = picked.select("host", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(False).alias("page"), *columns)
+    dealt = found.select("host", F.pmod("order", "salts").cast("int").alias("salt"), F.lit(True).alias("page"), *columns)
     rows = references.unionByName(dealt).repartition("host", "salt").sortWithinPartitions("host", "salt", "page")
     seen = materialize(_observe(rows), "page-nodes")
-    found = materialize(judge(seen), "wrappers")
-    drop_tables(seen)
-    return found
+    learned = materialize(judge(seen), "wrappers")
+    drop_tables(large, pages, seen)
+    return learned
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(page_id, url, text): the main text of every page.
 
-    Null html gives an empty text; a page without a host, or of a host with fewer than SAME pages, is read without a wrapper;
-    repeated rows are read each; an empty table gives an empty result; columns other than the three named are ignored.
+    Null html gives an empty text; a page without a host is read without a wrapper, and the wrapper of a host with fewer than SAME
+    different pages knows no constants; repeated rows are read each; an empty table gives an empty result; columns other than the three named are ignored.
     """
     picked = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
     learned = wrappers(pages, id_col, url_col, html_col)

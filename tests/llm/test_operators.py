@@ -281,8 +281,8 @@ def test_wrappers_tell_template_from_slots():
     template, root = html_text.induce(pages)
     # Constants are kept with their text; the one node of the root holds the story.
     want = {("/body/div.top", "Daily News"), ("/body/div.x/div.hint", "Read us daily")}
-    assert set(template) == {html_text.Node("", html_text.path_key(p), text=[t]).constant() for p, t in want}
-    assert root == html_text.path_key("/body/div.x/div.story")
+    assert set(template) == {html_text.signed(html_text.Node("", html_text.path_key(p), text=[t]).constant()) for p, t in want}
+    assert root == html_text.signed(html_text.path_key("/body/div.x/div.story"))
     assert html_text.main_text(pages[3].replace("3", "9"), template, root) == "Story 9 text that is long enough\n\nMore 9 of it"
     # The same place with another text is a slot; slots outside the root are content as well.
     assert html_text.main_text(pages[3].replace("Daily News", "Lead"), template, root).startswith("Lead\n\nStory 3")
