@@ -55,82 +55,101 @@ def pack(total: np.ndarray) -> np.ndarray:
 class Items:
     """An index of benchmark items: their shingles, and for each size the fingerprints in multi-index blocks.
 
-    Items with fewer words than a shingle have none and match nothing; repeated items are found each.
+    An item with fewer words than a shingle has its whole sequence as its only one, so it is found where just these words stand;
+    items without a word match nothing; repeated items are found each.
     """
 
     def __init__(self, items: list[tuple[int, str | None]]):
-        self.ids, self.sizes, self.shingles, self.by_size = [], [], [], defaultdict(list)
+        self.ids, self.sizes, self.shingles, self.place, self.by_size = [], [], [], [], defaultdict(list)
         self.vocabulary: dict[bytes, int] = {}
+        self.short: dict[tuple[bytes, ...], list[int]] = defaultdict(list)
         owners = defaultdict(set)
         for item_id, text in items:
             words = normal_words(text)
-            if len(words) < SHINGLE:
+            if not words:
                 continue
-            k = len(self.ids)
+            k, n = len(self.ids), len(words)
             self.ids.append(item_id)
-            self.sizes.append(len(words))
-            self.by_size[len(words)].append(k)
+            self.sizes.append(n)
+            self.place.append(len(self.by_size[n]))
             self.shingles.append(shingles(hashes(words)))
             codes = np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words], dtype=np.uint64)
+            if n < SHINGLE:
+                self.short[tuple(words)].append(k)
+                continue
+            self.by_size[n].append(k)
             for key in shingles(codes).tolist():
                 owners[key].add(k)
+        self.short_sizes = sorted({len(words) for words in self.short})
         self.keys = np.array(sorted(owners), dtype=np.uint64)
         self.owners = [sorted(owners[k]) for k in self.keys.tolist()]
         self.counts = [Counter(s.tolist()) for s in self.shingles]
-        self.prints = {n: np.concatenate([pack(votes(self.shingles[k]).sum(axis=0)[None]) for k in own]) for n, own in self.by_size.items()}
+        self.prints = {n: np.concatenate([pack(votes(self.shingles[k]).sum(axis=0)[None]) for k in own]) for n, own in self.by_size.items() if own}
         # near[block, value, item]: whether the item's block is within the block radius of the value
         self.near = {n: np.stack([NEAR[:, p[:, b]] for b in range(BLOCKS)]) for n, p in self.prints.items()}
 
     def search(self, text: str | None) -> list[tuple[int, int, int, float, int]]:
         """(item, first word, words, similarity, differing bits) of each item's best window, the first of equal ones."""
         words = normal_words(text)
-        if len(words) < SHINGLE or not self.ids:
+        if not words or not self.ids:
             return []
         codes = np.fromiter(map(self.vocabulary.get, words, repeat(0)), np.uint64, len(words))
         known = np.concatenate([[0], np.cumsum(codes > 0)])
-        at = np.nonzero(known[SHINGLE:] - known[:-SHINGLE] == SHINGLE)[0]
-        if not len(at):
-            return []
+        best: dict[int, tuple] = {}
+        for n in self.short_sizes:
+            for p in np.nonzero(known[n:] - known[:-n] == n)[0].tolist():
+                for k in self.short.get(tuple(words[p : p + n]), ()):
+                    best.setdefault(k, (1.0, p, 0))
+        self._long(words, codes, np.nonzero(known[SHINGLE:] - known[:-SHINGLE] == SHINGLE)[0], best)
+        return [(self.ids[k], start, min(self.sizes[k], len(words)), sim, bits) for k, (sim, start, bits) in sorted(best.items())]
+
+    def _long(self, words: list[bytes], codes: np.ndarray, at: np.ndarray, best: dict) -> None:
+        """Items of a shingle and more, from the places where five words of the vocabulary stand."""
+        if not len(at) or not len(self.keys):
+            return
         # A window as similar as asked shares a shingle with the item, so only windows over such a shingle matter.
         keys = mix64(sum((codes[at + j] * MULTIPLIER ** np.uint64(SHINGLE - 1 - j) for j in range(SHINGLE)), np.zeros(len(at), np.uint64)))
         place = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
         hit = self.keys[place] == keys
-        starts: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        spans: dict[int, list[tuple[int, int, list[int]]]] = defaultdict(list)
         for p, key in zip(at[hit].tolist(), place[hit].tolist(), strict=True):
-            for n in {self.sizes[k] for k in self.owners[key]}:
+            owners: dict[int, list[int]] = defaultdict(list)
+            for k in self.owners[key]:
+                owners[self.sizes[k]].append(k)
+            for n, own in owners.items():
                 size = min(n, len(words))
-                starts[n].append((max(0, p - size + SHINGLE), min(p, len(words) - size)))
-        best: dict[int, tuple] = {}
-        for n, spans in starts.items():
-            self._windows(words, n, spans, best)
-        return [(self.ids[k], start, min(self.sizes[k], len(words)), sim, bits) for k, (sim, start, bits) in sorted(best.items())]
-
-    def _windows(self, words: list[bytes], n: int, spans: list[tuple[int, int]], best: dict) -> None:
+                spans[n].append((max(0, p - size + SHINGLE), min(p, len(words) - size), own))
+        for n, found in spans.items():
+            merged: list[tuple[int, int, set[int]]] = []
+            for a, b, own in sorted(found):
+                if merged and a <= merged[-1][1] + 1:
+                    merged[-1] = (merged[-1][0], max(b, merged[-1][1]), merged[-1][2].union(own))
+                else:
+                    merged.append((a, b, set(own)))
+            for a, b, own in merged:
+                self._windows(words, n, a, b, sorted(own), best)
+
+    def _windows(self, words: list[bytes], n: int, a: int, b: int, own: list[int], best: dict) -> None:
+        """Compares the windows that begin at a to b with the items (all of n words) that share a shingle with one of them."""
         m = min(n, len(words)) - SHINGLE + 1  # shingles of a window
-        merged: list[list[int]] = []
-        for a, b in sorted(spans):
-            if merged and a <= merged[-1][1] + 1:
-                merged[-1][1] = max(b, merged[-1][1])
-            else:
-                merged.append([a, b])
-        for a, b in merged:
-            h = shingles(hashes(words[a : b + m + SHINGLE - 1]))
-            v = np.zeros((len(h) + 1, 64), dtype=np.int32)
-            np.cumsum(votes(h), axis=0, out=v[1:])
-            prints = pack(v[m:] - v[:-m])
-            found = np.zeros((len(prints), len(self.by_size[n])), dtype=bool)
-            for block in range(BLOCKS):
-                found |= self.near[n][block][prints[:, block]]
-            for i, j in zip(*np.nonzero(found), strict=True):
-                bits = int(np.bitwise_count(prints[i] ^ self.prints[n][j]).sum())
-                if bits > RADIUS:
-                    continue
-                k = self.by_size[n][j]
-                ours, theirs = Counter(h[i : i + m].tolist()), self.counts[k]
-                shared = sum((ours & theirs).values())
-                sim = shared / (m + len(self.shingles[k]) - shared)
-                if sim >= SIMILARITY and (k not in best or (-sim, a + i) < (-best[k][0], best[k][1])):
-                    best[k] = (sim, a + int(i), bits)
+        h = shingles(hashes(words[a : b + m + SHINGLE - 1]))
+        v = np.zeros((len(h) + 1, 64), dtype=np.int32)
+        np.cumsum(votes(h), axis=0, out=v[1:])
+        prints = pack(v[m:] - v[:-m])
+        places = np.array([self.place[k] for k in own])
+        found = np.zeros((len(prints), len(own)), dtype=bool)
+        for block in range(BLOCKS):
+            found |= self.near[n][block][np.ix_(prints[:, block], places)]
+        for i, j in zip(*np.nonzero(found), strict=True):
+            k = own[j]
+            bits = int(np.bitwise_count(prints[i] ^ self.prints[n][places[j]]).sum())
+            if bits > RADIUS:
+                continue
+            ours, theirs = Counter(h[i : i + m].tolist()), self.counts[k]
+            shared = sum((ours & theirs).values())
+            sim = shared / (m + len(self.shingles[k]) - shared)
+            if sim >= SIMILARITY and (k not in best or (-sim, a + i) < (-best[k][0], best[k][1])):
+                best[k] = (sim, a + int(i), bits)
 
 
 def item_blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> Iterator[Items]:
@@ -148,7 +167,8 @@ def item_blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, item_id, start_word, n_words, similarity, bits): each document's best window for each item it holds.
 
-    Similarity is the weighted Jaccard similarity of 5-word shingles (weights are counts), 0.8 or more. Null and empty
+    Similarity is the weighted Jaccard similarity of 5-word shingles (weights are counts), 0.8 or more; an item of fewer words is
+    found where all its words stand in a row. Null and empty
     texts and items hold nothing; null ids are kept as null; repeated rows are found each; empty tables give an empty
     result; other columns are ignored. Every task searches whole texts on its own, without a shuffle.
     """

@@ -9,17 +9,18 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ruleweave.llm.common import flat_map, materialize, read
+from ruleweave.llm.common import drop_tables, flat_map, materialize, read
 
-#: Documents of each language that the model learns from (picked by a hash of their id), and entries that it keeps of all
-#: languages together: a model of bounded size, which is what may be broadcast.
-TRAIN_DOCS, ENTRIES = 6000, 480_000
-#: Cells (entries times languages) of the matrix: with very many languages each keeps fewer entries.
-CELLS = 40_000_000
+#: Documents that the model learns from: about so many of each language, and fewer of each where all languages together had more
+#: than SAMPLE. They are picked by a hash of their id. All words and n-grams of these documents are kept; the bound on the
+#: sample is what bounds the model that is broadcast.
+TRAIN_DOCS, SAMPLE = 2000, 40_000
+#: Entries of a text that are summed at once.
+AT_ONCE = 1 << 18
 ORDERS = (5, 4, 3, 2, 1)
+EMPTY = pa.table({"lang": pa.array([], pa.string()), "n": pa.array([], pa.int32()), "gram": pa.array([], pa.string()), "c": pa.array([], pa.int64())})
 LETTERS = re.compile(r"[^\W\d_]+")
 MEMO = 200_000
 
@@ -36,25 +37,22 @@ def grams(word: str, n: int) -> list[str]:
 
 
 class Model:
-    """Log frequencies by language (rows of a matrix) of words and of character n-grams."""
-
-    def __init__(self, langs: list[str], rows: list[tuple[str, int, str, int]], totals: dict[tuple[str, int], int]):
-        """rows: (lang, order, gram, count), order 0 for words; totals: counts of all grams of a language and order."""
-        self.langs, self.words, self.grams = langs, {}, {}
-        at = {lang: i for i, lang in enumerate(langs)}
-        orders, cells = [], []
-        for lang, n, gram, count in rows:
-            table = self.grams if n else self.words
-            row = table.get(gram)
-            if row is None:
-                row = table[gram] = len(orders)
-                orders.append(n)
-            cells.append((row, at[lang], count))
+    """Log frequencies by language of words and of character n-grams, sparse: an entry lists the languages that know it."""
+
+    def __init__(self, langs: list[str], rows: pa.Table, totals: dict[tuple[str, int], int]):
+        """rows: (lang, n, gram, c), order n = 0 for words; totals: counts of all grams of a language and order."""
+        self.langs = langs
+        table = rows.sort_by([("n", "ascending"), ("gram", "ascending"), ("lang", "ascending")])
+        orders, names, counts = table["n"].to_numpy(), table["gram"].to_pylist(), table["c"].to_numpy()
+        self.columns = np.searchsorted(np.array(langs, dtype=object), np.array(table["lang"].to_pylist(), dtype=object)).astype(np.int32) if langs else np.zeros(0, np.int32)
+        # Every count is half a time more than seen; a language that doesn't know an entry has just that half.
+        self.gains = (np.log(counts + 0.5) - np.log(0.5)).astype(np.float32)
         size = np.array([[totals.get((lang, n), 0) for lang in langs] for n in range(max(ORDERS) + 1)], dtype=float).reshape(max(ORDERS) + 1, len(langs))
-        counts = np.full((len(orders), len(langs)), 0.5)
-        for row, lang, count in cells:
-            counts[row, lang] += count
-        self.logs = (np.log(counts) - np.log(size[orders] + 1) if orders else counts).astype(np.float32)
+        self.base = np.log(0.5) - np.log(size + 1)
+        first = [i for i in range(len(names)) if not i or names[i] != names[i - 1] or orders[i] != orders[i - 1]]
+        self.starts, self.orders = np.array([*first, len(names)], dtype=np.int64), orders[first].astype(np.int8)
+        self.words = {names[i]: k for k, i in enumerate(first) if orders[i] == 0}
+        self.grams = {names[i]: k for k, i in enumerate(first) if orders[i] > 0}
         self.memo: dict[str, list[int]] = {}
 
     def backoff(self, word: str) -> list[int]:
@@ -69,32 +67,40 @@ class Model:
                 self.memo[word] = found
         return found
 
+    def total(self, rows: np.ndarray) -> np.ndarray:
+        """Sums of the log frequencies of entries, by language."""
+        total = np.bincount(self.orders[rows], minlength=len(self.base)).astype(np.float64) @ self.base
+        for part in np.array_split(rows, -(-len(rows) // AT_ONCE)) if len(rows) else []:
+            size = self.starts[part + 1] - self.starts[part]
+            at = np.repeat(self.starts[part] - np.cumsum(size) + size, size) + np.arange(size.sum())
+            total += np.bincount(self.columns[at], weights=self.gains[at], minlength=len(self.langs))
+        return total
+
     def predict(self, text: str | None) -> tuple[str, float]:
         """The likeliest language (the first of equal ones) and its share of the likelihood of all languages."""
         words = letters(text)
         if not words or not self.langs:
             return "und", 0.0
         rows = np.fromiter(map(self.words.get, words, repeat(-1)), np.int64, len(words))
-        total = self.logs[rows[rows >= 0]].sum(axis=0, dtype=np.float64)
-        if (rows < 0).any():
-            more = [r for i in np.nonzero(rows < 0)[0].tolist() for r in self.backoff(words[i])]
-            total = total + self.logs[more].sum(axis=0, dtype=np.float64) if more else total
+        unseen = [r for i in np.nonzero(rows < 0)[0].tolist() for r in self.backoff(words[i])]
+        total = self.total(np.concatenate([rows[rows >= 0], np.array(unseen, dtype=np.int64)]))
         best = int(total.argmax())
         return self.langs[best], float(1 / np.exp(np.minimum(total - total[best], 0)).sum())
 
 
-def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_docs: int = TRAIN_DOCS, entries: int = ENTRIES) -> Model:
-    """Learns from about train_docs documents of each language, picked by a hash of their id.
+def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_docs: int = TRAIN_DOCS, sample: int = SAMPLE) -> Model:
+    """Learns from about train_docs documents of each language, and sample in all, picked by a hash of their id.
 
-    Rows without text or language are not used. Counting and the choice of the most frequent words and n-grams are Spark
-    aggregates; only the chosen entries, bounded by `entries`, come to the driver.
+    Rows without text or language are not used. Words and n-grams are counted by Spark; the counts of the bounded sample come
+    to the driver.
     """
     base = labelled.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text is not null and lang is not null")
-    known = {r["lang"]: r["n"] for r in base.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(entries // 240).collect()}
+    known = {r["lang"]: r["n"] for r in base.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row for each language
     if not known:
-        return Model([], [], {})
-    share = F.element_at(F.create_map(*[F.lit(x) for lang, n in known.items() for x in (lang, min(1.0, train_docs / n))]), F.col("lang"))
-    picked = base.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < share * (1 << 20)).select("lang", "text")
+        return Model([], EMPTY, {})
+    each = min(train_docs, -(-sample // len(known)))
+    shares = base.sparkSession.createDataFrame([(lang, min(1.0, each / n)) for lang, n in known.items()], "lang string, share double")
+    picked = base.join(F.broadcast(shares), "lang").where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < F.col("share") * (1 << 20)).select("lang", "text")
 
     def count(batch: pa.RecordBatch) -> pa.RecordBatch:
         found: dict[str, Counter] = {}
@@ -112,10 +118,9 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
 
     counts = materialize(flat_map(picked, count, "lang string, n int, gram string, c long").groupBy("lang", "n", "gram").agg(F.sum("c").alias("c")), "language-counts")
     totals = {(r["lang"], r["n"]): r["t"] for r in counts.groupBy("lang", "n").agg(F.sum("c").alias("t")).collect()}
-    each = max(20, min(entries, CELLS // len(known)) // (len(known) * (len(ORDERS) + 1)))
-    rank = F.row_number().over(W.partitionBy("lang", "n").orderBy(F.desc("c"), "gram"))
-    rows = counts.withColumn("rank", rank).where(F.col("rank") <= F.when(F.col("n") == 0, 2 * each).otherwise(each)).select("lang", "n", "gram", "c").toPandas()
-    return Model(sorted(known), list(rows.itertuples(index=False, name=None)), totals)
+    rows = counts.select("lang", "n", "gram", "c").toArrow()
+    drop_tables(counts)
+    return Model(sorted(known), rows, totals)
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

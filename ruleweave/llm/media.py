@@ -16,6 +16,9 @@ from ruleweave.llm.common import flat_map, materialize, read
 #: A media sample has 64 bytes (64 PCM values of 8 bits), a chunk up to 64 samples, of which the first is a sync sample.
 SAMPLE, PER_CHUNK, RATE = 64, 64, 8000
 CONTAINERS = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"edts", b"dinf"}
+#: Boxes that decode() reads, and the depth to which boxes are opened (sample tables lie at a depth of five).
+TABLES = {b"stsd", b"stts", b"stsc", b"stsz", b"stco", b"co64", b"stss", b"mdhd"}
+DEEPEST = 16
 MATRIX = struct.pack(">9I", 0x10000, 0, 0, 0, 0x10000, 0, 0, 0, 0x40000000)
 
 
@@ -69,10 +72,16 @@ def store(payload: bytes) -> bytes:
     return ftyp + moov(front) + data_box
 
 
-def walk(data: bytes, start: int = 0, end: int | None = None, path: tuple[bytes, ...] = ()) -> Iterator[tuple[tuple[bytes, ...], int, int]]:
-    """(path of kinds, first byte of the body, end) of every box, parents first. A box that overruns its parent ends the walk."""
-    end = len(data) if end is None else end
-    while start + 8 <= end:
+def walk(data: bytes) -> Iterator[tuple[tuple[bytes, ...], int, int]]:
+    """(path of kinds, first byte of the body, end) of every box, parents first.
+
+    A box that overruns its parent ends the parent's walk; boxes deeper than DEEPEST aren't opened.
+    """
+    open_boxes: list[tuple[int, int, tuple[bytes, ...]]] = [(0, len(data), ())]
+    while open_boxes:
+        start, end, path = open_boxes.pop()
+        if start + 8 > end:
+            continue
         size, kind = struct.unpack_from(">I4s", data, start)
         body = start + 8
         if size == 1 and start + 16 <= end:
@@ -80,51 +89,72 @@ def walk(data: bytes, start: int = 0, end: int | None = None, path: tuple[bytes,
         elif size == 0:
             size = end - start
         if size < body - start or start + size > end:
-            return
+            continue
         yield (*path, kind), body, start + size
-        if kind in CONTAINERS:
-            yield from walk(data, body, start + size, (*path, kind))
-        start += size
+        open_boxes.append((start + size, end, path))
+        if kind in CONTAINERS and len(path) < DEEPEST:
+            open_boxes.append((body, start + size, (*path, kind)))
 
 
 def tables(data: bytes) -> dict:
     """Codec, time scale, duration, channels, bits and the byte ranges of all chunks and sync samples of the first track.
 
-    Only the boxes of the sample tables are decoded; the payload stays untouched. Bytes that are no media file give a
-    codec of None and empty ranges.
+    Only the boxes of the sample tables are decoded; the payload stays untouched. Bytes that are no media file, and files whose
+    tables contradict each other, their boxes or the file's size, give a codec of None and empty ranges.
     """
-    out = {"codec": None, "timescale": 0, "duration": 0, "channels": 0, "bits": 0, "samples": 0, "chunks": [], "keyframes": []}
-    at = {}
+    try:
+        found = decode(data)
+    except (struct.error, IndexError):  # a table ends before what it announces
+        found = None
+    return found or {"codec": None, "timescale": 0, "duration": 0, "channels": 0, "bits": 0, "samples": 0, "chunks": [], "keyframes": []}
+
+
+def decode(data: bytes) -> dict | None:
+    """tables() of a sound file; None or an error for others. Nothing larger than the file is believed."""
+    boxes: dict[bytes, bytes] = {}
     for path, a, b in walk(data):
-        at.setdefault(path[-1], (a, b))
-    if not {b"stsd", b"stsz", b"stsc", b"mdhd", b"stts"} <= at.keys() or not at.keys() & {b"stco", b"co64"}:
-        return out
-    u32 = lambda kind, i: struct.unpack_from(">I", data, at[kind][0] + i)[0]
-    out["codec"] = data[at[b"stsd"][0] + 12 : at[b"stsd"][0] + 16].decode("latin-1")
-    out["channels"], out["bits"] = struct.unpack_from(">HH", data, at[b"stsd"][0] + 32)
-    wide = data[at[b"mdhd"][0]] == 1
-    out["timescale"], _ = struct.unpack_from(">IQ" if wide else ">II", data, at[b"mdhd"][0] + (20 if wide else 12))
-    out["duration"] = sum(x * y for x, y in struct.iter_unpack(">II", data[at[b"stts"][0] + 8 : at[b"stts"][0] + 8 + 8 * u32(b"stts", 4)]))
-    fixed, n = u32(b"stsz", 4), u32(b"stsz", 8)
-    sizes = [fixed] * n if fixed else list(struct.unpack_from(f">{n}I", data, at[b"stsz"][0] + 12))
-    kind = b"stco" if b"stco" in at else b"co64"
-    count = u32(kind, 4)
-    offsets = struct.unpack_from(f">{count}{'I' if kind == b'stco' else 'Q'}", data, at[kind][0] + 8)
-    runs = list(struct.iter_unpack(">III", data[at[b"stsc"][0] + 8 : at[b"stsc"][0] + 8 + 12 * u32(b"stsc", 4)]))
-    sync = set(struct.unpack_from(f">{u32(b'stss', 4)}I", data, at[b"stss"][0] + 8)) if b"stss" in at else None
-    sample, run = 0, 0
+        if path[-1] in TABLES:
+            boxes.setdefault(path[-1], data[a:b])
+    if not {b"stsd", b"stsz", b"stsc", b"mdhd", b"stts"} <= boxes.keys() or not boxes.keys() & {b"stco", b"co64"}:
+        return None
+
+    def read_at(kind: bytes, form: str, at: int) -> tuple:
+        return struct.unpack_from(">" + form, boxes[kind], at)
+
+    def rows(kind: bytes, form: str, count: int, at: int = 8) -> list[tuple]:
+        size = struct.calcsize(">" + form)
+        if count * size > len(boxes[kind]) - at:
+            raise struct.error(f"{kind!r} holds fewer rows than it announces")
+        return list(struct.iter_unpack(">" + form, boxes[kind][at : at + count * size]))
+
+    codec = read_at(b"stsd", "4s", 12)[0].decode("latin-1")
+    channels, bits = read_at(b"stsd", "HH", 32)
+    wide = boxes[b"mdhd"][0] == 1
+    timescale, _ = read_at(b"mdhd", "IQ" if wide else "II", 20 if wide else 12)
+    duration = sum(x * y for x, y in rows(b"stts", "II", *read_at(b"stts", "I", 4)))
+    fixed, n = read_at(b"stsz", "II", 4)
+    if fixed * n > len(data) or n > len(data):
+        return None
+    sizes = [] if fixed else [x for (x,) in rows(b"stsz", "I", n, 12)]
+    kind = b"stco" if b"stco" in boxes else b"co64"
+    offsets = [x for (x,) in rows(kind, "I" if kind == b"stco" else "Q", *read_at(kind, "I", 4))]
+    runs = rows(b"stsc", "III", *read_at(b"stsc", "I", 4))
+    sync = {x for (x,) in rows(b"stss", "I", *read_at(b"stss", "I", 4))} if b"stss" in boxes else None
+    chunks, keyframes, sample, run = [], [], 0, 0
     for chunk, offset in enumerate(offsets, 1):
         while run + 1 < len(runs) and runs[run + 1][0] <= chunk:
             run += 1
-        first = offset
-        for _ in range(runs[run][1]):
-            if sync is None or sample + 1 in sync:
-                out["keyframes"].append((offset, sizes[sample]))
-            offset += sizes[sample]
-            sample += 1
-        out["chunks"].append((first, offset - first))
-    out["samples"] = sample
-    return out
+        first, count = offset, runs[run][1]
+        if sample + count > n:
+            return None
+        for i in range(sample, sample + count):
+            size = fixed or sizes[i]
+            if sync is None or i + 1 in sync:
+                keyframes.append((offset, size))
+            offset += size
+        sample += count
+        chunks.append((first, offset - first))
+    return {"codec": codec, "timescale": timescale, "duration": duration, "channels": channels, "bits": bits, "samples": sample, "chunks": chunks, "keyframes": keyframes}
 
 
 def payload(data: bytes, found: dict | None = None) -> bytes:

@@ -59,7 +59,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
     of all rows costs no more in one task than any other.
 
     Null texts and blank texts have the size 0 and are never taken (copies 0). A null source is a source of its own,
-    last in order. Rows with a null id share one random number and are told apart by text; repeated rows each count
+    last in order. Rows with a null id draw their random number by a hash of their text; repeated rows each count
     with their size. An empty table gives an empty result. Columns other than the three named are ignored.
     """
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), F.xxhash64(F.col(text_col)).alias("tie"))
@@ -72,7 +72,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
     small = F.broadcast if targets.count() <= SOURCES else (lambda df: df)
     # Sources that are null meet by the null-safe comparison.
     chance = small(chance.withColumnRenamed("source", "s"))
-    u = uniform(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), seed)
+    u = uniform(F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text "), F.col("tie").cast("string"))), seed)
     ranked = base.join(chance, F.col("source").eqNullSafe(F.col("s"))).drop("s")
     ranked = ranked.withColumn("u", u).withColumn("q", F.try_divide(F.try_divide(F.col("u"), 1 - F.col("u")), F.try_divide(F.col("p"), 1 - F.col("p"))))
     # q runs from 0 to infinity; q / (q + c), with c the ratio at u = 1/2, has the same order and spreads evenly from 0 to 1.

@@ -93,6 +93,29 @@ def test_language_backs_off_to_shorter_grams(spark, odd):
     assert language.identify(empty(odd), model).count() == 0
 
 
+def test_language_against_plain_sums(spark, table, small):
+    """Brute force: the backoff scores in dictionaries, for every document."""
+    learned = [(r.lang, t) for r in table.itertuples() if r.lang and (t := language.letters(r.text))]
+    counts, totals = defaultdict(Counter), Counter()
+    for lang, words in learned:
+        for n, entry in [(0, w) for w in words] + [(n, g) for w in words for n in language.ORDERS for g in language.grams(w, n)]:
+            counts[n, entry][lang] += 1
+            totals[lang, n] += 1
+    langs = sorted({r.lang for r in table.itertuples() if r.lang and r.text is not None})
+    share = lambda n, entry: {x: math.log(counts[n, entry][x] + 0.5) - math.log(totals[x, n] + 1) for x in langs}
+    model = language.train(spark.read.parquet(f"{small}/documents.parquet"), train_docs=10**6, sample=10**7)
+    for r in table.head(60).itertuples():
+        total = dict.fromkeys(langs, 0.0)
+        for w in language.letters(r.text):
+            parts = [(0, w)] if (0, w) in counts else next(([(n, g) for g in language.grams(w, n) if (n, g) in counts] for n in language.ORDERS if any((n, g) in counts for g in language.grams(w, n))), [])
+            for part in parts:
+                total = {x: total[x] + v for x, v in share(*part).items()}
+        want = max(langs, key=lambda x: (total[x], [-ord(c) for c in x]))
+        got, score = model.predict(r.text)
+        assert got == (want if language.letters(r.text) else "und")
+        assert not score or score == pytest.approx(1 / sum(math.exp(min(0, total[x] - total[want])) for x in langs), rel=1e-3)
+
+
 # 2 URL filters
 
 
@@ -371,6 +394,8 @@ def brute_leaks(rows, items):
         w = norm(t)
         for j, item in items:
             v = norm(item)
+            if v and len(v) < 5:  # a short item is its only shingle
+                out |= {(i, j, s, 1.0) for s in [s for s in range(len(w)) if w[s : s + len(v)] == v][:1]}
             if len(v) < 5 or len(w) < 5:
                 continue
             n, c, best = min(len(v), len(w)), grams(v), None
@@ -463,6 +488,22 @@ def test_walk_reads_other_files():
         assert media.tables(bad)["codec"] is None
 
 
+def test_damaged_media_have_no_codec():
+    rng = random.Random(5)
+    sound = media.store(media.pad(b"text " * 900))
+    front = sound.index(b"mdat")
+    want = media.tables(sound)
+    for _ in range(4000):
+        data = bytearray(sound)
+        for _ in range(rng.randrange(1, 4)):
+            data[rng.randrange(front)] = rng.choice([0, 1, 2, 127, 128, 255, rng.randrange(256)])
+        got = media.tables(bytes(data[: rng.choice([len(data), front + 100])]))
+        assert got.keys() == want.keys() and (got["codec"] is not None or not got["chunks"])
+        assert got["samples"] <= len(data)
+    nested = b"".join(struct.pack(">I4s", 8 * (50_000 - i), b"moov") for i in range(50_000))
+    assert media.tables(nested)["codec"] is None and media.tables(b"") == media.tables(nested)
+
+
 # 8 SimHash
 
 
