@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 SPACE = "\t\n\x0b\x0c\r \x85\xa0                　"
 
 
-def stringify(c: Column, number: bool = False) -> Column:
-    """A value as text: null is empty, a whole number has no fraction."""
-    if number:
-        whole = F.when((c == F.floor(c)) & (F.abs(c) < F.lit(1e15)), c.cast("bigint").cast("string")).otherwise(c.cast("string"))
-        return F.coalesce(whole, F.lit(""))
-    return F.coalesce(c.cast("string"), F.lit(""))
+def stringify(c: Column) -> Column:
+    """A value as text: null is empty, a whole number has no fraction, whatever the column's type."""
+    text = c.cast("string")
+    number = text.try_cast("double")
+    whole = F.typeof(c).rlike("^(double|float|decimal)") & (number == F.floor(number)) & (F.abs(number) < F.lit(1e15))
+    return F.coalesce(F.when(whole, number.cast("decimal(20,0)").cast("string")).otherwise(text), F.lit(""))
 
 
 def trim(c: Column) -> Column:
@@ -68,5 +68,5 @@ def template(text: str, values: dict[str, Column]) -> Column:
     while "{" in rest and "}" in rest.split("{", 1)[1]:
         before, rest = rest.split("{", 1)
         name, rest = rest.split("}", 1)
-        out += [F.lit(before), F.coalesce(values[name].cast("string"), F.lit("")) if name in values else F.lit("{" + name + "}")]
+        out += [F.lit(before), stringify(values[name]) if name in values else F.lit("{" + name + "}")]
     return F.concat(*out, F.lit(rest))

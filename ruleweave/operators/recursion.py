@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,17 +18,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def reachable(edges: DataFrame, seeds: DataFrame, src: str = "src", dst: str = "dst", guard: Column | None = None, max_rounds: int = 1000) -> DataFrame:
+def reachable(edges: DataFrame, seeds: DataFrame, src: str = "src", dst: str = "dst", guard: Column | None = None) -> DataFrame:
     """(seed, node): every node that a seed reaches over edges that meet the guard; the seed itself only over a cycle.
 
-    Semi-naive: each round joins only the pairs that the last one found, and stops when it finds none.
+    Semi-naive: each round joins only the pairs that the last one found, and the rounds end when one finds none.
     """
     steps = (edges if guard is None else edges.where(guard)).select(F.col(src).alias("s"), F.col(dst).alias("t")).where("s is not null and t is not null").distinct()
     fresh = cut(seeds.select(F.col(seeds.columns[0]).alias("seed")).distinct().join(steps, F.col("seed") == F.col("s")).select("seed", F.col("t").alias("node")).distinct())
     parts = [fresh]
-    for _ in range(max_rounds):
-        if fresh.isEmpty():
-            break
+    while not fresh.isEmpty():
         found = fresh.join(steps, F.col("node") == F.col("s")).select("seed", F.col("t").alias("node")).distinct()
         for old in parts:
             found = found.join(old, ["seed", "node"], "left_anti")
@@ -46,16 +45,27 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 
 
 def descendants(tree: DataFrame, root: str, name: str = "name", parent: str = "parent") -> DataFrame:
-    """(name) of a root and all that lies below it in a table of parents, by a recursive query of Spark SQL."""
-    tree.createOrReplaceTempView("ruleweave_tree")
-    return tree.sparkSession.sql(
-        f"""
-        with recursive below(name) as (
-          select cast(:root as string) union
-          select cast(t.`{name}` as string) from ruleweave_tree t join below on t.`{parent}` = below.name)
-        select distinct name from below""".replace(" union\n", " union all\n"),
-        {"root": root},
-    )
+    """(name) of a root and all that lies below it in a table of parents; cycles do no harm.
+
+    Pointers to parents are doubled each round, so a chain of n levels takes about log2(n) rounds.
+    """
+    pointers = tree.select(F.col(name).cast("string").alias("name"), F.col(parent).cast("string").alias("up")).where("name is not null and up is not null").distinct()
+    below = cut(tree.sparkSession.createDataFrame([(root,)], "name string"))
+    pointers = cut(pointers.where(F.col("name") != root))
+    nodes, reach = pointers.select("name").distinct().count(), 1
+    while not pointers.isEmpty():
+        hit = cut(pointers.join(below.withColumnRenamed("name", "up"), "up", "left_semi").select("name").distinct())
+        if reach > nodes and hit.isEmpty():  # every way without a cycle has been looked at
+            break
+        below = cut(below.unionByName(hit).distinct())
+        # What is known to lie below needs no pointers; those that lead there stay for the next round.
+        open_ones = pointers.join(hit, "name", "left_anti")
+        over = open_ones.select(F.col("name").alias("up"), F.col("up").alias("top"))
+        further = open_ones.join(over, "up").select("name", F.col("top").alias("up"))
+        arrived = open_ones.join(hit.withColumnRenamed("name", "up"), "up", "left_semi").select("name", "up")
+        pointers = cut(further.unionByName(arrived).distinct())
+        reach *= 2
+    return below
 
 
 def in_category(entities: DataFrame, category: str, tree: DataFrame, root: str, negate: bool = False) -> DataFrame:
@@ -64,7 +74,78 @@ def in_category(entities: DataFrame, category: str, tree: DataFrame, root: str,
     return entities.where(F.col(category).isNotNull()).join(below, category, "left_anti" if negate else "left_semi")
 
 
-def well_founded(rules: DataFrame, atoms: DataFrame | None = None, max_rounds: int = 200) -> DataFrame:
+@dataclass(frozen=True)
+class Atom:
+    """A relation and its terms: names of variables, or Columns for constants."""
+
+    relation: str
+    terms: tuple[str | Column, ...]
+
+
+@dataclass(frozen=True)
+class Rule:
+    """head follows where all atoms of the body hold and the guard, a Column over variables, is true."""
+
+    head: Atom
+    body: tuple[Atom, ...]
+    guard: Column | None = None
+
+
+def solve(rules: list[Rule], facts: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """All relations that follow from tables of facts (terms by position) and positive rules, which may be mutually recursive.
+
+    A body is a join over its shared variables. Semi-naive: in each round, one atom of a body takes only what the last round
+    found; the rounds end when nothing is new. A null joins nothing.
+    """
+
+    def rows(atom: Atom, df: DataFrame) -> DataFrame:
+        df = df.toDF(*[f"_{i}" for i in range(len(df.columns))])
+        first: dict[str, int] = {}
+        for i, term in enumerate(atom.terms):
+            if isinstance(term, str) and term not in first:
+                first[term] = i
+            else:
+                df = df.where(F.col(f"_{i}") == (F.col(f"_{first[term]}") if isinstance(term, str) else term))
+        return df.select(*[F.col(f"_{i}").alias(v) for v, i in first.items()])
+
+    def derive(rule: Rule, tables: list[DataFrame]) -> DataFrame:
+        out = rows(rule.body[0], tables[0])
+        for atom, table in zip(rule.body[1:], tables[1:], strict=True):
+            right = rows(atom, table)
+            shared = [c for c in right.columns if c in out.columns]
+            out = out.join(right, shared) if shared else out.crossJoin(right)
+        out = out if rule.guard is None else out.where(rule.guard)
+        return out.select(*[(F.col(t) if isinstance(t, str) else t).alias(f"_{i}") for i, t in enumerate(rule.head.terms)])
+
+    heads = {r.head.relation for r in rules}
+    known: dict[str, DataFrame] = {}
+    fresh: dict[str, DataFrame] = {}
+    for name in heads:
+        parts = [facts[name].toDF(*[f"_{i}" for i in range(len(facts[name].columns))])] if name in facts else []
+        parts += [derive(r, [facts[a.relation] for a in r.body]) for r in rules if r.head.relation == name and not heads.intersection(a.relation for a in r.body)]
+        if parts:
+            known[name] = fresh[name] = cut(_union(parts).distinct())
+    while fresh:
+        found: dict[str, list[DataFrame]] = {}
+        for rule in rules:
+            if any(a.relation not in known and a.relation in heads for a in rule.body):
+                continue  # nothing of one atom is known yet
+            for i, atom in enumerate(rule.body):
+                if atom.relation in fresh:
+                    tables = [fresh[a.relation] if i == j else known.get(a.relation, facts.get(a.relation)) for j, a in enumerate(rule.body)]
+                    found.setdefault(rule.head.relation, []).append(derive(rule, tables))
+        fresh = {}
+        for name, parts in found.items():
+            new = _union(parts).distinct()
+            new = cut(new.join(known[name], new.columns, "left_anti") if name in known else new)
+            if not new.isEmpty():
+                fresh[name] = new
+        for name, new in fresh.items():
+            known[name] = cut(known[name].unionByName(new)) if name in known else new
+    return known
+
+
+def well_founded(rules: DataFrame, atoms: DataFrame | None = None) -> DataFrame:
     """(atom, truth) of ground rules (head, pos array, neg array): true, undefined or false.
 
     The alternating fixpoint: what follows if no negated atom is false yet, then what can still follow if only what is
@@ -79,17 +160,16 @@ def well_founded(rules: DataFrame, atoms: DataFrame | None = None, max_rounds: i
         """Atoms that follow when a rule with a negated atom in `blocking` is left out."""
         live = cut(body.join(neg.join(blocking, "atom", "left_semi").select("rule").distinct(), "rule", "left_anti").select("rule", "head", F.size("pos").alias("need")))
         derived = cut(live.where("need = 0").select(F.col("head").alias("atom")).distinct())
-        for _ in range(max_rounds):
+        while True:
             got = pos.join(derived, "atom", "left_semi").groupBy("rule").agg(F.count(F.lit(1)).alias("got"))
             more = cut(live.join(got, "rule").where("got = need").select(F.col("head").alias("atom")).distinct().join(derived, "atom", "left_anti"))
             if more.isEmpty():
                 return derived
             derived = cut(derived.unionByName(more))
-        raise RuntimeError("the least model did not settle")
 
     possible = least(every.limit(0))  # nothing blocks: all that may be true
     sure = least(possible)
-    for _ in range(max_rounds):
+    while True:
         possible = least(sure)
         more = least(possible)
         if more.count() == sure.count():

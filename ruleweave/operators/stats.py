@@ -64,23 +64,24 @@ TAIL_ABOVE = (-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838
 TAIL_BELOW = (7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996, 3.754408661907416, 1.0)
 
 
-def _grubbs_column(n: Column, alpha: float) -> Column:
-    """grubbs_critical() as a Column: the table with straight lines, beyond it the formula."""
+def _with_critical(summary: DataFrame, alpha: float) -> DataFrame:
+    """summary (with sample) and g_crit, as grubbs_critical(): the table with straight lines, beyond it the formula step by step."""
     if alpha / 6 >= 0.02425:
         raise ValueError("alpha is too large for grouped tests")
-    n = n.cast("double")
-    q = F.sqrt(-2 * F.ln(F.lit(alpha) / (2 * n)))
-    poly = lambda cs: reduce(lambda out, c: out * q + F.lit(c), cs[1:], F.lit(cs[0]))
-    z, df = -poly(TAIL_ABOVE) / poly(TAIL_BELOW), n - 2
+    n = F.col("_n")
+    poly = lambda cs: reduce(lambda out, c: out * F.col("_q") + F.lit(c), cs[1:], F.lit(cs[0]))
+    df, z = n - 2, F.col("_z")
     power = lambda k: F.pow(z, F.lit(float(k)))
     t = z + (power(3) + z) / (4 * df) + (5 * power(5) + 16 * power(3) + 3 * z) / (96 * df * df) + (3 * power(7) + 19 * power(5) + 17 * power(3) - 15 * z) / (384 * df * df * df)
     t = F.when(df == 1, F.tan(F.lit(math.pi) * (0.5 - F.lit(alpha) / (2 * n)))).otherwise(t)
-    formula = F.when(n >= 3, (n - 1) / F.sqrt(n) * F.sqrt(t * t / (n - 2 + t * t)))
+    formula = F.when(n >= 3, (n - 1) / F.sqrt(n) * F.sqrt(F.col("_t") * F.col("_t") / (n - 2 + F.col("_t") * F.col("_t"))))
     points = sorted(GRUBBS.get(alpha, {}).items())
     out = F.when(n == points[0][0], F.lit(points[0][1])) if points else None
     for (a, x), (b, y) in zip(points, points[1:], strict=False):
         out = out.when((n > a) & (n <= b), F.lit(x) + (n - a) / F.lit(float(b - a)) * F.lit(y - x))
-    return formula if out is None else out.otherwise(formula)
+    steps = summary.withColumn("_n", F.col("sample").cast("double")).withColumn("_q", F.sqrt(-2 * F.ln(F.lit(alpha) / (2 * n))))
+    steps = steps.withColumn("_z", -poly(TAIL_ABOVE) / poly(TAIL_BELOW)).withColumn("_t", t)
+    return steps.withColumn("g_crit", F.when(n >= 3, formula if out is None else out.otherwise(formula))).drop("_n", "_q", "_z", "_t")
 
 
 def grubbs(df: DataFrame, value: str, by: list[str] | None = None, alpha: float = 0.05) -> DataFrame:
@@ -89,7 +90,7 @@ def grubbs(df: DataFrame, value: str, by: list[str] | None = None, alpha: float
     x = number(value)
     summary = df.where(x.isNotNull()).groupBy(*by).agg(F.avg(x).alias("mean"), F.stddev_samp(x).alias("sd"), F.count(F.lit(1)).alias("sample"))
     if by:
-        summary = summary.withColumn("g_crit", F.when(F.col("sample") >= 3, _grubbs_column(F.col("sample"), alpha)))
+        summary = _with_critical(summary, alpha)
     else:
         n = df.where(x.isNotNull()).count()
         summary = summary.withColumn("g_crit", F.lit(grubbs_critical(n, alpha)))
@@ -97,6 +98,35 @@ def grubbs(df: DataFrame, value: str, by: list[str] | None = None, alpha: float
     return _beside(df, summary, by).withColumn("g", g).withColumn("flagged", F.coalesce(F.col("g") > F.col("g_crit"), F.lit(False)))
 
 
+#: Values that are put in order as they are; of more, the approximate bracket is many ranks wider than its error.
+FEW = 100_000
+
+
+def exact_percentile(df: DataFrame, x: Column, share: float) -> DataFrame:
+    """One row (threshold, sample): the percentile of a whole table with straight lines between ranks.
+
+    An approximate percentile brackets the rank; values below the bracket are counted, and only the values inside, about one
+    in a thousand, are put in order.
+    """
+    rows = df.select(x.alias("x")).where("x is not null")
+    ends = [max(0.0, share - 5e-4), min(1.0, share + 5e-4)]
+    bracket = rows.agg(F.percentile_approx("x", F.array(*[F.lit(e) for e in ends]), 10_000).alias("b"), F.min("x").alias("low"), F.max("x").alias("high"), F.count("x").alias("sample"))
+    few = F.col("sample") < FEW
+    low = F.when(few | F.lit(ends[0] == 0), F.col("low")).otherwise(F.col("b")[0])
+    high = F.when(few | F.lit(ends[1] == 1), F.col("high")).otherwise(F.col("b")[1])
+    bracket = bracket.select(low.alias("low"), high.alias("high"), "sample", (F.lit(share) * (F.col("sample") - 1)).alias("rank"))
+    met = rows.crossJoin(F.broadcast(bracket))  # one row
+    below = met.agg(F.coalesce(F.sum((F.col("x") < F.col("low")).cast("long")), F.lit(0)).alias("below"))
+    band = met.where((F.col("x") >= F.col("low")) & (F.col("x") <= F.col("high"))).groupBy("x").agg(F.count("*").alias("n"), F.first("rank").alias("rank"))
+    upto = F.sum("n").over(W.orderBy("x").rowsBetween(W.unboundedPreceding, W.currentRow))  # values of the bracket only
+    band = band.crossJoin(F.broadcast(below)).withColumn("last", F.col("below") + upto - 1).withColumn("first", F.col("last") - F.col("n") + 1)
+    at = lambda place: F.max(F.when((F.col("first") <= place) & (place <= F.col("last")), F.col("x")))
+    ends = band.agg(at(F.floor("rank")).alias("lower"), at(F.ceil("rank")).alias("upper"))
+    whole, rank = F.floor("rank"), F.col("rank")
+    straight = F.when((whole == rank) | (F.col("lower") == F.col("upper")), F.col("lower")).otherwise((whole + 1 - rank) * F.col("lower") + (rank - whole) * F.col("upper"))
+    return bracket.crossJoin(F.broadcast(ends)).select(straight.alias("threshold"), "sample")
+
+
 def learned_threshold(df: DataFrame, value: str, percentile: float, above: bool = True, min_sample: int = 3, by: list[str] | None = None) -> DataFrame:
     """Rows beyond the percentile (0 to 100, straight lines between ranks) of their group, with the threshold.
 
@@ -104,7 +134,10 @@ def learned_threshold(df: DataFrame, value: str, percentile: float, above: bool
     """
     by = by or []
     x = number(value)
-    summary = df.groupBy(*by).agg(F.percentile(x, percentile / 100).alias("threshold"), F.count(x).alias("sample"))
+    if by:
+        summary = df.groupBy(*by).agg(F.percentile(x, percentile / 100).alias("threshold"), F.count(x).alias("sample"))
+    else:
+        summary = exact_percentile(df, x, percentile / 100)
     beyond = x > F.col("threshold") if above else x < F.col("threshold")
     return _beside(df, summary, by).where((F.col("sample") < min_sample) | beyond).drop("sample")
 

@@ -342,6 +342,19 @@ def fact_retraction(spark, d):
     return factlog.as_of(asserted.unionByName(gone)).select("entity", "value")
 
 
+_GONE = "with e as (select user_id, event_type, value, ts, event_id, event_type = 'error' as gone from events), g as (select user_id, max((ts, event_id)) as o from e where gone group by user_id)"
+
+
+@query(_GONE + """, l as (select e.user_id, event_type, arg_max(round(value, 2), (ts, event_id)) as v, max((ts, event_id)) as o from e where not gone group by all)
+select l.user_id as entity, event_type as attribute, v::double as value from l left join g using (user_id) where g.o is null or l.o > g.o""")
+def entity_retraction(spark, d):
+    """The last value of each kind of event of a user; an error takes back all that is known of the user."""
+    rows = events(spark, d)
+    asserted = factlog.log(rows.where("event_type <> 'error'").withColumn("v", F.round("value", 2)), "user_id", F.col("event_type"), "v", "ts", "event_id")
+    gone = factlog.retract(rows.where("event_type = 'error'"), "user_id", "ts", "event_id")
+    return factlog.as_of(asserted.unionByName(gone)).select("entity", "attribute", F.col("value").cast("double").alias("value"))
+
+
 @query("select user_id as entity, max(ts) as last_written from events group by user_id having max(ts) < timestamp '2024-01-30' - interval 12 hour")
 def freshness_stale(spark, d):
     facts = factlog.log(events(spark, d), "user_id", "seen", "event_type", "ts", "event_id")
@@ -363,6 +376,14 @@ def reactive_rules(spark, d):
     return feed.dispatch(factlog.changes(facts), rules).select(F.col("seq").alias("event_id"), "entity", "rule")
 
 
+@query("""select c_custkey as id, 'balance ' || case when c_acctbal = floor(c_acctbal) then floor(c_acctbal)::bigint::varchar else c_acctbal::varchar end || ' of ' || (c_custkey * 2)::varchar as label from customer""")
+def label_numbers(spark, d):
+    """Numbers in labels: whole ones have no fraction."""
+    rows = customers(spark, d).df
+    label = S.template("balance {money} of {twice}", {"money": F.col("c_acctbal"), "twice": F.col("c_custkey").cast("double") * 2})
+    return rows.select(F.col("c_custkey").alias("id"), label.alias("label"))
+
+
 @query("""select c_custkey as id, c_mktsegment, c_acctbal from customer""")
 def fact_roundtrip(spark, d):
     view = customers(spark, d)
@@ -428,6 +449,52 @@ def recursion_reach(spark, d):
     return recursion.reachable(edges, part.where("p_size = 50").select(F.col("p_partkey").alias("seed")))
 
 
+_CHAIN = "with recursive n as (select min(p_partkey) as lo, max(p_partkey) as hi from part), t as (select p_partkey as c, case when p_partkey > lo then p_partkey - 1 else hi end as p from part, n)"
+
+
+@query(_CHAIN + ", b(c) as (select lo from n union select t.c from t join b on t.p = b.c) select c::varchar as name from b")
+def category_cycle(spark, d):
+    """All below a root in a tree of parents that is one long ring: many levels, and a cycle."""
+    part = parts(spark, d).df
+    ends = part.agg(F.min("p_partkey").alias("lo"), F.max("p_partkey").alias("hi"))
+    ring = part.crossJoin(F.broadcast(ends)).select(F.col("p_partkey").alias("name"), F.when(F.col("p_partkey") > F.col("lo"), F.col("p_partkey") - 1).otherwise(F.col("hi")).alias("parent"))
+    return recursion.descendants(ring, str(ends.first()["lo"]))
+
+
+@query("""select distinct o_orderkey as id, r_name as region from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey
+union select s_suppkey, r_name from supplier join nation on s_nationkey = n_nationkey join region on n_regionkey = r_regionkey where s_acctbal > 0""")
+def rule_join(spark, d):
+    """Where an order or a solvent supplier belongs: two rules of one name, joins over shared variables, a guard."""
+    facts = {
+        "orders": orders(spark, d).df.select("o_orderkey", "o_custkey"),
+        "customer": customers(spark, d).df.select("c_custkey", "c_nationkey"),
+        "supplier": read_table(spark, d, "supplier").select("s_suppkey", "s_nationkey", "s_acctbal"),
+        "nation": read_table(spark, d, "nation").select("n_nationkey", "n_regionkey"),
+        "region": read_table(spark, d, "region").select("r_regionkey", "r_name"),
+    }
+    atom = lambda relation, *terms: recursion.Atom(relation, terms)
+    place = (atom("nation", "n", "r"), atom("region", "r", "name"))
+    rules = [
+        recursion.Rule(atom("belongs", "o", "name"), (atom("orders", "o", "c"), atom("customer", "c", "n"), *place)),
+        recursion.Rule(atom("belongs", "s", "name"), (atom("supplier", "s", "n", "money"), *place), F.col("money") > 0),
+    ]
+    return recursion.solve(rules, facts)["belongs"].toDF("id", "region")
+
+
+@query("""with recursive n as (select count(*) as n from part), e as (select p_partkey as s, (p_partkey * 7 + 3) % n as t from part, n where p_size > 10),
+  r(node, k) as (select p_partkey, 0 from part where p_size = 50 union select e.t, 1 - r.k from r join e on e.s = r.node) select node, case when k = 0 then 'even' else 'odd' end as steps from r""")
+def mutual_recursion(spark, d):
+    """Parts that lie an even or an odd number of steps from a start: two relations that define each other."""
+    part = parts(spark, d).df
+    edges = part.crossJoin(F.broadcast(part.agg(F.count("*").alias("n")))).where("p_size > 10").select(F.col("p_partkey").alias("src"), ((F.col("p_partkey") * 7 + 3) % F.col("n")).alias("dst"))
+    facts = {"edge": edges, "start": part.where("p_size = 50").select("p_partkey")}
+    atom = lambda relation, *terms: recursion.Atom(relation, terms)
+    step = atom("edge", "x", "y")
+    rules = [recursion.Rule(atom("even", "x"), (atom("start", "x"),)), recursion.Rule(atom("odd", "y"), (atom("even", "x"), step)), recursion.Rule(atom("even", "y"), (atom("odd", "x"), step))]
+    found = recursion.solve(rules, facts)
+    return found["even"].toDF("node").withColumn("steps", F.lit("even")).unionByName(found["odd"].toDF("node").withColumn("steps", F.lit("odd")))
+
+
 @query()
 def wellfounded_win(spark, d):
     """Who wins a game of moves between customers: one wins who can move to one that doesn't."""
@@ -442,20 +509,33 @@ def wellfounded_win(spark, d):
 # Models
 
 
+#: Rows of embeddings that serve as the stated training set: those with the smallest MD5 of their id.
+TRAINING = 1000
+
+
 def vectors(spark: SparkSession, d: str) -> DataFrame:
     wide = read_table(spark, d, "embeddings")
-    return wide.select("vec_id", F.col("label").cast("string").alias("label"), *[F.col("embedding")[i].cast("double").alias(f"f{i}") for i in range(4)], "embedding")
+    return wide.select("vec_id", F.col("label").cast("string").alias("label"), *[F.col("embedding")[i].cast("double").alias(f"f{i}") for i in range(64)], "embedding")
+
+
+def training(v: DataFrame) -> DataFrame:
+    return v.where("label is not null").orderBy(F.md5(F.col("vec_id").cast("string")), "vec_id").limit(TRAINING)
+
+
+_KNN = ["avg(f{0}) m{0}", "stddev_pop(f{0}) s{0}", "(f{0} - m{0}) / s{0} as z{0}", "(x.z{0} - t.z{0}) * (x.z{0} - t.z{0})", "embedding[{1}]::double as f{0}"]
+_KNN = {k: t.join(p.format(i, i + 1) for i in range(64)) for k, p, t in zip(("m", "s", "z", "d", "f"), _KNN, (", ", ", ", ", ", " + ", ", "), strict=True)}
 
 
-@query("""with v as (select vec_id, label::varchar as label, embedding[1]::double as f0, embedding[2]::double as f1, embedding[3]::double as f2, embedding[4]::double as f3 from embeddings),
-s as (select avg(f0) m0, stddev_pop(f0) s0, avg(f1) m1, stddev_pop(f1) s1, avg(f2) m2, stddev_pop(f2) s2, avg(f3) m3, stddev_pop(f3) s3 from v),
-z as (select vec_id, label, (f0 - m0) / s0 as a, (f1 - m1) / s1 as b, (f2 - m2) / s2 as c, (f3 - m3) / s3 as e from v, s),
-p as (select x.vec_id, t.label, row_number() over (partition by x.vec_id order by round(sqrt((x.a - t.a) * (x.a - t.a) + (x.b - t.b) * (x.b - t.b) + (x.c - t.c) * (x.c - t.c) + (x.e - t.e) * (x.e - t.e)), 9), t.vec_id) as k from z x, z t where x.vec_id % 10 <> 0 and t.vec_id % 10 = 0),
+@query(f"""with e as (select vec_id, label::varchar as label, {_KNN["f"]} from embeddings),
+c as (select vec_id from e where label is not null order by md5(vec_id::varchar), vec_id limit {TRAINING}),
+v as (select * from e union all select * from e where vec_id in (from c)), s as (select {_KNN["m"]}, {_KNN["s"]} from v),
+z as (select vec_id, label, {_KNN["z"]} from e, s), t as (select * from z where vec_id in (from c)),
+p as (select x.vec_id, t.label, row_number() over (partition by x.vec_id order by round(sqrt({_KNN["d"]}), 9), t.vec_id) as k from z x, t),
 n as (select vec_id, label, count(*) as n from p where k <= 5 group by 1, 2), q as (select *, row_number() over (partition by vec_id order by n desc, label) as k from n)
 select vec_id, label, round(n / 5.0, 6)::double as confidence from q where k = 1 and n >= 3""")
 def knn_classify(spark, d):
     v = vectors(spark, d)
-    out = models.knn_classify(v.where("vec_id % 10 <> 0"), v.where("vec_id % 10 = 0"), "vec_id", "label", ["f0", "f1", "f2", "f3"], 5, 0.6)
+    out = models.knn_classify(v, training(v), "vec_id", "label", [f"f{i}" for i in range(64)], 5, 0.6)
     return out.withColumn("confidence", r("confidence", 6))
 
 
@@ -469,8 +549,8 @@ def tree_fitted(spark, d):
 @query()
 def tree_predict(spark, d):
     v = vectors(spark, d)
-    tree = models.fit_tree(v.where("vec_id % 5 = 0"), "vec_id", "label", ["f0", "f1", "f2", "f3"])
-    return models.predict(v.where("vec_id % 5 <> 0"), tree, 0.4).select("vec_id", "label", "confidence")
+    tree = models.fit_tree(training(v), "vec_id", "label", [f"f{i}" for i in range(64)])
+    return models.predict(v, tree, 0.4).select("vec_id", "label", "confidence")
 
 
 @query("""with c as (select i, avg(embedding[i]::double) as x from embeddings, range(1, 65) t(i) group by i), l as (select list(x order by i) as c from c),
@@ -496,27 +576,26 @@ def cluster_dbscan(spark, d):
     return models.dbscan(read_table(spark, d, "supplier"), "s_suppkey", ["s_acctbal"], 100.0, 3)
 
 
-def _ppr_sql(rounds: int) -> str:
-    steps = ",\n".join(
-        f"m{k} as (select dst as node, sum(s{k - 1}.score * share) as x from s{k - 1} join f on f.src = s{k - 1}.node group by dst), "
-        f"s{k} as (select node, sum(s) as score from (select node, 0.85 * x as s from m{k} union all select node, r * (1 - 0.85 * (select sum(x) from m{k})) from home) group by node)"
-        for k in range(1, rounds + 1)
-    )
-    return f"""with c as (select s_suppkey as e, 'n' as a, s_nationkey::varchar as v from supplier union all select s_suppkey, 'b', floor(s_acctbal / 500)::varchar from supplier),
+_PPR = """with recursive c as (select s_suppkey as e, 'n' as a, s_nationkey::varchar as v from supplier union all select s_suppkey, 'b', floor(s_acctbal / 500)::varchar from supplier),
 k as (select a, v from c group by a, v having count(*) between 2 and 500), g as (select x.e as src, y.e as dst, count(*)::double as w from c x join k using (a, v) join c y on x.a = y.a and x.v = y.v and x.e <> y.e group by 1, 2),
-f as (select src, dst, w / sum(w) over (partition by src) as share from g), nodes as (select distinct src as node from g), home as (select node, 1.0 / count(*) over () as r from nodes where node < 5),
-s0 as (select node, r as score from home), {steps}
-select node, round(score, 9) as score from s{rounds} where node not in (select node from home) order by score desc, node limit 10"""
+f as (select src, dst, w / sum(w) over (partition by src) as share from g), nodes as (select distinct src as node from g), home as (select node, 1.0::double / count(*) over () as r from nodes where node < 5),
+s(k, node, score) as (select 0, node, r from home union all
+  select k, node, sum(x) from (
+    select k, node, x from (select k + 1 as k, dst as node, 0.85 * sum(score * share) as x from s join f on src = node group by all)
+    union all select n.k, home.node, r * (1 - n.moved) from home, (select k + 1 as k, 0.85 * sum(score * share) as moved from s join f on src = node group by all) n) where k <= 100 group by all),
+d as (select coalesce(a.k, b.k + 1) as k, sum(abs(coalesce(a.score, 0) - coalesce(b.score, 0))) as gap from (from s where k > 0) a full join s b on a.k = b.k + 1 and a.node = b.node group by 1),
+z as (select coalesce(min(k), 100) as k from d where gap < 1e-6 and k <= 100)
+select node, round(score, 9) as score from s where k = (select k from z) and node not in (select node from home) order by score desc, node limit 10"""
 
 
-@query(_ppr_sql(8))
+@query(_PPR)
 def related_ppr(spark, d):
     suppliers = read_table(spark, d, "supplier")
     nation = suppliers.select(F.col("s_suppkey").alias("entity"), F.lit("n").alias("attribute"), F.col("s_nationkey").cast("string").alias("value"))
     band = suppliers.select(F.col("s_suppkey").alias("entity"), F.lit("b").alias("attribute"), F.floor(F.col("s_acctbal") / 500).cast("string").alias("value"))
     edges = graph.shared_value_edges(nation.unionByName(band))
     seeds = suppliers.where("s_suppkey < 5").select(F.col("s_suppkey").alias("node"))
-    return graph.related(edges, seeds, rounds=8, fixed=True).withColumn("score", r("score", 9))
+    return graph.related(edges, seeds).withColumn("score", r("score", 9))
 
 
 # Optimisation
@@ -603,7 +682,7 @@ def constraint_verdict(spark, d):
 
 
 @query("""select o_orderkey as entity, case when o_totalprice > 180000 then 'block' when o_orderpriority = '1-URGENT' then 'requires' else 'allow' end as decision,
-  case when o_totalprice > 180000 then 'total is ' || o_totalprice::varchar when o_orderpriority = '1-URGENT' then 'needs a second look' else '' end as reasons from orders""")
+  case when o_totalprice > 180000 then 'total is ' || case when o_totalprice = floor(o_totalprice) then o_totalprice::bigint::varchar else o_totalprice::varchar end when o_orderpriority = '1-URGENT' then 'needs a second look' else '' end as reasons from orders""")
 def judgements(spark, d):
     rules = [policy.Judgement("dear", attr("o_totalprice") > 180000, "block", "total is {o_totalprice}", "before ship"), policy.Judgement("urgent", attr("o_orderpriority") == "1-URGENT", "requires", "needs a second look")]
     return policy.judge(orders(spark, d), rules).withColumn("reasons", F.array_join("reasons", "; "))

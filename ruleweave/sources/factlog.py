@@ -16,9 +16,11 @@ def log(rows: DataFrame, entity: str, attribute: str | Column, value: str, at: s
     return rows.select(F.col(entity).alias("entity"), name.alias("attribute"), F.col(value).cast("string").alias("value"), F.col(at).alias("at"), F.col(seq).alias("seq"), F.lit(False).alias("deleted"))
 
 
-def retract(rows: DataFrame, entity: str, at: str, seq: str, attribute: str | None = None) -> DataFrame:
-    """Tombstones for an attribute, or without one for all attributes of the entities."""
-    return rows.select(F.col(entity).alias("entity"), F.lit(attribute).cast("string").alias("attribute"), F.lit(None).cast("string").alias("value"), F.col(at).alias("at"), F.col(seq).alias("seq"), F.lit(True).alias("deleted"))
+def retract(rows: DataFrame, entity: str, at: str, seq: str, attribute: str | None = None, value: str | None = None) -> DataFrame:
+    """Tombstones for an attribute, or without one for all attributes of the entities; with a column `value` only where the cell has just
+    this value."""
+    text = F.lit(None) if value is None else F.col(value)
+    return rows.select(F.col(entity).alias("entity"), F.lit(attribute).cast("string").alias("attribute"), text.cast("string").alias("value"), F.col(at).alias("at"), F.col(seq).alias("seq"), F.lit(True).alias("deleted"))
 
 
 def expand_retractions(facts: DataFrame) -> DataFrame:
@@ -31,11 +33,18 @@ def expand_retractions(facts: DataFrame) -> DataFrame:
 def as_of(facts: DataFrame, moment: Column | None = None) -> DataFrame:
     """(entity, attribute, value, at): the last value of each cell up to a moment; retracted cells are absent.
 
-    One aggregate on the cell; of rows with one instant the last appended counts.
+    Of rows with one instant the last appended counts. Retractions are of an entity, of a cell, or of a cell with a value; each
+    kind is an aggregate of its own that meets the cells.
     """
     known = facts if moment is None else facts.where(F.col("at") <= moment)
-    last = known.groupBy("entity", "attribute").agg(F.max_by(F.struct("value", "deleted", "at"), F.struct("at", "seq")).alias("l"))
-    return last.where(~F.col("l.deleted")).select("entity", "attribute", "l.value", "l.at")
+    order = F.struct("at", "seq")
+    last = known.where("not deleted").groupBy("entity", "attribute").agg(F.max_by("value", order).alias("value"), F.max(order).alias("o"))
+    cells = known.where("deleted and attribute is not null and value is null").groupBy("entity", "attribute").agg(F.max(order).alias("cell"))
+    exact = known.where("deleted and attribute is not null and value is not null").groupBy("entity", "attribute", "value").agg(F.max(order).alias("exact"))
+    whole = known.where("deleted and attribute is null").groupBy("entity").agg(F.max(order).alias("whole"))
+    met = last.join(cells, ["entity", "attribute"], "left").join(exact, ["entity", "attribute", "value"], "left").join(whole, "entity", "left")
+    gone = F.greatest("cell", "exact", "whole")
+    return met.where(gone.isNull() | (F.col("o") > gone)).select("entity", "attribute", "value", F.col("o.at").alias("at"))
 
 
 def last_written(facts: DataFrame) -> DataFrame:
@@ -44,8 +53,15 @@ def last_written(facts: DataFrame) -> DataFrame:
 
 
 def changes(facts: DataFrame) -> DataFrame:
-    """(entity, attribute, kind, value, prev, at, seq): assert, change and retract events; an unchanged value is no event."""
+    """(entity, attribute, kind, value, prev, at, seq): assert, change and retract events; an unchanged value is no event.
+
+    An entity's retraction is an event of each of its cells; one of a cell with a value counts only where the cell has that value.
+    """
     order = W.partitionBy("entity", "attribute").orderBy("at", "seq")
+    facts = expand_retractions(facts)
+    asserted = F.last(F.when(~F.col("deleted"), F.struct("value")), ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, -1))
+    facts = facts.withColumn("asserted", asserted).where(~F.col("deleted") | F.col("value").isNull() | F.col("value").eqNullSafe(F.col("asserted.value"))).drop("asserted")
+    facts = facts.withColumn("value", F.when(~F.col("deleted"), F.col("value")))
     before = F.lag(F.struct("value", "deleted")).over(order)
     rows = facts.withColumn("b", before).withColumn("prev", F.when(F.col("b").isNotNull() & ~F.col("b.deleted"), F.col("b.value")))
     fresh = F.col("b").isNull() | F.col("b.deleted")

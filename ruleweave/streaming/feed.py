@@ -28,8 +28,9 @@ class On:
 def change_feed(facts: DataFrame, ttl: str | None = None) -> DataFrame:
     """Assert, change and retract events of a stream of facts (entity, attribute, value, at, seq, deleted).
 
-    The state of a cell is its last value; within a micro-batch a cell's facts are taken in the order (at, seq). A fact
-    that repeats the value gives no event. With a ttl, cells that get no fact for so long are forgotten.
+    The state of an entity is the last value of each of its cells; within a micro-batch its facts are taken in the order (at, seq).
+    A fact that repeats the value gives no event, the retraction of the entity one for each cell, that of a cell with a
+    value one where the cell has just that value. With a ttl, entities that get no fact for so long are forgotten.
     """
     kind = facts.schema["entity"].dataType.simpleString()
     columns = ["entity", "attribute", "kind", "value", "prev", "at", "seq"]
@@ -38,18 +39,18 @@ def change_feed(facts: DataFrame, ttl: str | None = None) -> DataFrame:
         if state.hasTimedOut:
             state.remove()
             return
-        held, prev = (True, state.get[0]) if state.exists else (False, None)
+        held = dict(zip(*state.get, strict=True)) if state.exists else {}
         out = []
         for row in pd.concat(list(frames)).sort_values(["at", "seq"], kind="stable").itertuples(index=False):
+            name, there = row.attribute, row.attribute in held
             if row.deleted:
-                if held:
-                    out.append((*key, "retract", None, prev, row.at, row.seq))
-                held, prev = False, None
-            elif not held or row.value != prev:
-                out.append((*key, "change" if held else "assert", row.value, prev, row.at, row.seq))
-                held, prev = True, row.value
+                gone = sorted(held) if name is None else [name] if there and row.value in (None, held[name]) else []
+                out += [(*key, cell, "retract", None, held.pop(cell), row.at, row.seq) for cell in gone]
+            elif not there or row.value != held[name]:
+                out.append((*key, name, "change" if there else "assert", row.value, held.get(name), row.at, row.seq))
+                held[name] = row.value
         if held:
-            state.update((prev,))
+            state.update((list(held), list(held.values())))
             if ttl:
                 state.setTimeoutDuration(ttl)
         elif state.exists:
@@ -58,8 +59,8 @@ def change_feed(facts: DataFrame, ttl: str | None = None) -> DataFrame:
             yield pd.DataFrame(out, columns=columns)
 
     timeout = GroupStateTimeout.ProcessingTimeTimeout if ttl else GroupStateTimeout.NoTimeout
-    cells = facts.where("attribute is not null").select("entity", "attribute", "value", "at", "seq", "deleted")
-    return cells.groupBy("entity", "attribute").applyInPandasWithState(step, CHANGE.format(id=kind), "value string", "append", timeout)
+    rows = facts.select("entity", "attribute", "value", "at", "seq", "deleted")
+    return rows.groupBy("entity").applyInPandasWithState(step, CHANGE.format(id=kind), "names array<string>, held array<string>", "append", timeout)
 
 
 def dispatch(changes: DataFrame, rules: list[On]) -> DataFrame:

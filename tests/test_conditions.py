@@ -94,7 +94,7 @@ def test_a_condition_and_its_negation_part_the_rows(view, x, name):
 def test_scalars(spark):
     row = spark.createDataFrame([("  a.b ", "ab", 3.0, 2.5)], "s string, t string, whole double, part double").select(
         S.trim(F.col("s")).alias("trim"), S.substring(F.col("t"), -3, 1).alias("sub"), S.replace(F.col("t"), "", "-").alias("rep"), S.split(F.col("s"), ".").alias("split"),
-        S.stringify(F.col("whole"), True).alias("w"), S.stringify(F.col("part"), True).alias("p"), S.template("{t} and {u}", {"t": F.col("t")}).alias("tpl"),
+        S.stringify(F.col("whole")).alias("w"), S.stringify(F.col("part")).alias("p"), S.template("{t} and {u}", {"t": F.col("t")}).alias("tpl"),
         S.path(F.lit('{"a": {"b": [1, {"c": "x"}]}}'), "a.b.1.c").alias("path"), S.path(F.lit('{"a": 1}'), "a.b.7").alias("none"),
     ).first()
     assert (row.trim, row.sub, row.rep, row.w, row.p, row.tpl, row.path, row.none) == ("a.b", "a", "-a-b-", "3", "2.5", "ab and {u}", "x", None)

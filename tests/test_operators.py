@@ -45,7 +45,7 @@ def test_grubbs(spark):
     assert stats.grubbs_critical(2) == math.inf
     for alpha in (0.05, 0.01, 0.1):
         sizes = spark.createDataFrame([(n,) for n in (3, 4, 7, 22, 100, 101, 600, 1000, 1001, 50_000)], "n long")
-        for r in sizes.select("n", stats._grubbs_column(F.col("n"), alpha).alias("g")).collect():
+        for r in stats._with_critical(sizes.withColumn("sample", F.col("n")), alpha).withColumnRenamed("g_crit", "g").collect():
             assert r.g == pytest.approx(stats.grubbs_critical(r.n, alpha), rel=1e-6)
 
 
@@ -311,3 +311,44 @@ def test_empty_tables(spark):
     assert stats.zscore(none, "x").count() == stats.grubbs(none, "x").count() == stats.learned_threshold(none, "x", 50).count() == 0
     assert models.dbscan(none, "id", ["x"], 1.0).count() == optimize.pareto_front(none.withColumn("y", F.lit(1.0)), "id", {"x": "min", "y": "max"}).count() == 0
     assert isinstance(stats.correlation(none.withColumn("y", F.lit(1.0)), "x", "y").toPandas(), pd.DataFrame)
+
+
+def test_exact_percentile_in_a_bracket(spark, monkeypatch):
+    monkeypatch.setattr(stats, "FEW", 0)
+    rows = spark.range(200_000).select((F.pmod(F.xxhash64("id"), F.lit(5000)) / 7).alias("x"))
+    for share in (0.0, 0.3, 0.95, 1.0):
+        want = rows.select(F.percentile("x", share)).first()[0]
+        assert stats.exact_percentile(rows, F.col("x"), share).first() == (want, 200_000)
+    assert stats.exact_percentile(rows.limit(0), F.col("x"), 0.5).first() == (None, 0)
+
+
+def test_retractions_of_entities_and_values(spark):
+    rows = [(1, "a", "x", 1, False), (1, "b", "y", 2, False), (1, None, None, 3, True), (1, "b", "z", 4, False), (2, "a", "x", 1, False), (2, "a", "no", 2, True), (3, "a", "x", 1, False), (3, "a", "x", 2, True)]
+    facts = spark.createDataFrame([(e, a, v, dt.datetime(2024, 1, i), i, d) for e, a, v, i, d in rows], "entity long, attribute string, value string, at timestamp, seq long, deleted boolean")
+    assert sorted((r.entity, r.attribute, r.value) for r in factlog.as_of(facts).collect()) == [(1, "b", "z"), (2, "a", "x")]
+    got = sorted((r.entity, r.attribute, r.seq, r.kind) for r in factlog.changes(facts).collect())
+    assert got == [(1, "a", 1, "assert"), (1, "a", 3, "retract"), (1, "b", 2, "assert"), (1, "b", 3, "retract"), (1, "b", 4, "assert"), (2, "a", 1, "assert"), (3, "a", 1, "assert"), (3, "a", 2, "retract")]
+
+
+def test_trees_of_many_levels_and_cycles(spark):
+    chain = spark.range(1, 3001).select(F.col("id").alias("name"), (F.col("id") - 1).alias("parent"))
+    assert recursion.descendants(chain, "0").count() == 3001 and recursion.descendants(chain, "2990").count() == 11
+    loop = spark.createDataFrame([("a", "b"), ("b", "a"), ("c", "a"), ("d", "e"), ("e", "d"), ("f", None)], "name string, parent string")
+    assert sorted(r.name for r in recursion.descendants(loop, "a").collect()) == ["a", "b", "c"]
+    assert sorted(r.name for r in recursion.descendants(loop, "f").collect()) == ["f"]
+    both = spark.createDataFrame([("x", "p"), ("x", "q"), ("p", "r"), ("q", "s")], "name string, parent string")
+    assert sorted(r.name for r in recursion.descendants(both, "s").collect()) == ["q", "s", "x"]
+
+
+def test_rules_with_constants_and_repeated_variables(spark):
+    edge = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (4, 4), (None, 5)], "a long, b long")
+    atom = lambda relation, *terms: recursion.Atom(relation, terms)
+    rules = [
+        recursion.Rule(atom("path", "x", "y"), (atom("edge", "x", "y"),)),
+        recursion.Rule(atom("path", "x", "z"), (atom("path", "x", "y"), atom("path", "y", "z"))),
+        recursion.Rule(atom("loop", "x"), (atom("path", "x", "x"),)),
+        recursion.Rule(atom("from_two", "y"), (atom("path", F.lit(2), "y"),), F.col("y") > 1),
+    ]
+    found = recursion.solve(rules, {"edge": edge})
+    assert found["path"].where("_0 is not null").count() == 10
+    assert sorted(r[0] for r in found["loop"].collect()) == [1, 2, 3, 4] and sorted(r[0] for r in found["from_two"].collect()) == [2, 3]

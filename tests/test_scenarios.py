@@ -53,7 +53,7 @@ def test_category_tree_of_vehicles(spark, fleet):
 def test_low_stock_feeds_a_recommendation(spark):
     stock = EntityView(spark.createDataFrame([(1, "oil", 2.0, 10.0), (2, "tyre", 40.0, 10.0), (3, "belt", None, 5.0)], "id long, name string, stock double, least double"), "id", on_error="drop")
     low = Detect("low", attr("stock") - attr("least") < 0, label="{name}: {stock} of {least}").run(stock)
-    assert [r.label for r in low.collect()] == ["oil: 2.0 of 10.0"]
+    assert [r.label for r in low.collect()] == ["oil: 2 of 10"]
     order = Detect("reorder", present("name"), matching=[low]).run(stock)
     assert found(order) == [1]
 

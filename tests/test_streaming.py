@@ -52,3 +52,14 @@ def test_windows_with_a_watermark(spark, tmp_path):
     batch = spark.createDataFrame(rows(), SCHEMA)
     assert feed.sessions(batch, "at", "90 minutes", ["entity"]).agg(F.max("n")).first()[0] == 6
     assert feed.windowed(batch, "at", "4 hours", ["entity"], slide="2 hours").where("n >= 4").count() == 8
+
+
+def test_entity_retractions_on_a_stream(spark, tmp_path):
+    t0 = dt.datetime(2024, 1, 1)
+    data = [(1, "a", "x", t0, 0, False), (1, "b", "y", t0, 10, False), (1, None, None, t0, 20, True), (1, "a", "x", t0, 30, False), (2, "a", "x", t0, 40, False), (2, "a", "no", t0, 50, True)]
+    stream = feed.change_feed(source(spark, tmp_path, data))
+    query = stream.writeStream.format("memory").queryName("gone").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    key = lambda r: (r.entity, r.attribute, r.kind, r.value, r.prev, r.seq)
+    got = sorted(map(key, spark.table("gone").collect()), key=str)
+    assert got == sorted(map(key, factlog.changes(spark.createDataFrame(data, SCHEMA)).collect()), key=str) and len(got) == 6
