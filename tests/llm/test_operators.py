@@ -265,8 +265,27 @@ def test_substrings_of_patchworks(spark, seed):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     found = substrings.deduplicate(df)
     assert sorted(map(tuple, substrings.digest(found).collect()), key=str) == brute_removal(rows)
+    own = defaultdict(list)
+    for i, t in rows:
+        own[i].append((t or "").split())
+    inside = lambda part, whole: any(whole[k : k + len(part)] == part for k in range(len(whole) - len(part) + 1))
     for r in found.where("size(factors) > 0").collect():
         assert all(f.length >= 13 and f.ref < r.doc_id for f in r.factors)
+        # Each factor stands word for word in its reference.
+        assert any(all(any(inside(w[f.start : f.start + f.length], x) for x in own[f.ref]) for f in r.factors) and len(w) == r.n_words for w in own[r.doc_id])
+
+
+def test_factors_are_longest_and_verified():
+    ref = [b"x%d" % k for k in range(300)]
+    blocks = {(1, 7, b): ref[b * 64 : b * 64 + 76] for b in range(5)}
+    doc = [b"new"] * 5 + ref[20:250] + [b"end"] + ref[40:60]
+    run = lambda *v: tuple(np.array(x) for x in v)
+    # The index knows each window once, with its place in the reference; a place may lead over several blocks.
+    runs = run([5], [218], [1], [(7 << 32) + 20])
+    assert substrings.parse(doc, runs, blocks) == [(5, 230, 1), (236, 20, 1)]
+    # A window of which only the hash is the same begins no factor.
+    wrong = {k: [b"y"] * 76 for k in blocks}
+    assert substrings.parse(doc, runs, wrong) == [] == substrings.parse(doc, runs, {})
 
 
 def test_substrings_edge_cases(spark, odd):
