@@ -177,7 +177,7 @@ def parse(words: list[bytes], runs: tuple[np.ndarray, np.ndarray, np.ndarray, np
         tie, q = q >> PLACE, q & ((1 << PLACE) - 1)
         block = blocks.get((r, tie, q // STEP), [])
         offset = q % STEP
-        n = min(len(block) - offset, len(words) - p)
+        n = max(0, min(len(block) - offset, len(words) - p))
         if words[p : p + n] != block[offset : offset + n]:
             n = next(k for k in range(n) if words[p + k] != block[offset + k])
         if n < WINDOW:
