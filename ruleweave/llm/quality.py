@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from operator import eq
 
 import numpy as np
@@ -22,7 +22,7 @@ HELD_OUT = 10
 #: Documents above this quantile of the held-out trusted documents of their language and length, and SLACK times the
 #: quantile's distance from the median, are rejected. Bands of length with fewer documents than LEAST use all lengths.
 QUANTILE, SLACK, LEAST = 0.99, 0.5, 50
-#: Entries of the model that are broadcast at once; a larger model is scored in several shards.
+#: Entries of the model that are broadcast at once; a larger model is scored in several shards, one after the other.
 SHARD_ENTRIES = 4_000_000
 START = "\x02" * (ORDER - 1)
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -199,13 +199,16 @@ class Table:
         return found, value
 
 
-def shard_of(before: np.ndarray, shards: int) -> np.ndarray:
-    """The shard of a history by its last code: all that a character's probability needs lies in one shard."""
-    return (before * np.uint32(2654435761) >> np.uint32(8)) % np.uint32(shards)
+def shard_of(before: np.ndarray, last: np.ndarray, shards: int) -> np.ndarray:
+    """The shard of a history by its last two codes: all that a character's probability needs of longer grams lies in one shard."""
+    return (mix64(before.astype(np.uint64) << np.uint64(32) | last.astype(np.uint64)) >> np.uint64(8)) % np.uint64(shards)
 
 
 def keyed(table: DataFrame, shards: int) -> DataFrame:
-    """(shard, key, value): the model with a 64-bit number for each entry; shard -1 belongs to all shards."""
+    """(shard, key, value): the model with a 64-bit number for each entry; shard -1 belongs to all shards.
+
+    That is where entries with a history of fewer than two characters are, which are no more than pairs of characters.
+    """
     offset = {"p": 0, "b": 100, "u": 200}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,9 +220,9 @@ def keyed(table: DataFrame, shards: int) -> DataFrame:
                 for j in range(n):
                     h = h * MULTIPLIER + (c[:, j].astype(np.uint64) + np.uint64(1))
                 keys = mix64(h ^ salt(lang, n + offset[kind])) | ONE
-                # A character's shard is that of the code before it: the last but one of a gram, the last of a history.
+                # A character's shard is that of the two codes before it: the last of a history, or of a gram without its end.
                 last = n - 2 if kind == "p" else n - 1
-                shard = shard_of(c[:, last], shards).astype(np.int32) if last >= 0 and kind != "u" else np.full(len(rows), -1, np.int32)
+                shard = shard_of(c[:, last - 1], c[:, last], shards).astype(np.int32) if last >= 1 and kind != "u" else np.full(len(rows), -1, np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(keys.view(np.int64)), pa.array(rows["value"].to_numpy(np.float32))], ["shard", "key", "value"])
 
     return table.select("lang", "kind", "n", "gram", "value").mapInArrow(run, "shard int, key long, value float")
@@ -239,10 +242,24 @@ class Entries:
 
 @dataclass(frozen=True)
 class Model:
-    """A model's languages, and the broadcasts of its entries in shards of a bounded size."""
+    """A model's languages, its entries as a table, and the shards into which they are dealt."""
 
     langs: frozenset[str]
-    shards: list[Broadcast]
+    entries: DataFrame
+    shards: range
+    kept: list[Broadcast] = field(default_factory=list)
+
+    def share(self, shard: int) -> Broadcast:
+        """A shard's entries, about SHARD_ENTRIES, as a broadcast; the only one of a model is made once."""
+        if self.kept:
+            return self.kept[0]
+        own = self.entries.where(F.col("shard").isin(-1, shard)).select("key", "value").toArrow()
+        shared = self.entries.sparkSession.sparkContext.broadcast(Entries(own["key"].to_numpy().view(np.uint64), own["value"].to_numpy()))
+        del own
+        pa.default_memory_pool().release_unused()
+        if len(self.shards) == 1:
+            self.kept.append(shared)
+        return shared
 
 
 def train(texts: DataFrame) -> Model:
@@ -252,14 +269,7 @@ def train(texts: DataFrame) -> Model:
     shards = max(1, -(-table.count() // SHARD_ENTRIES))
     entries = materialize(keyed(table, shards), "keyed-model")
     drop_tables(table)
-    found = []
-    for shard in range(shards):
-        own = entries.where(F.col("shard").isin(-1, shard)).select("key", "value").toArrow()
-        found.append(texts.sparkSession.sparkContext.broadcast(Entries(own["key"].to_numpy().view(np.uint64), own["value"].to_numpy())))
-        del own
-        pa.default_memory_pool().release_unused()
-    drop_tables(entries)
-    return Model(langs, found)
+    return Model(langs, entries, range(shards))
 
 
 def log_likelihoods(table: Table, texts: list[str], lang: str, shard: int = 0, shards: int = 1) -> np.ndarray:
@@ -279,7 +289,7 @@ def log_likelihoods(table: Table, texts: list[str], lang: str, shard: int = 0, s
         own[(starts[:, None] + np.arange(ORDER - 1)[None, :]).ravel()] = False  # what only is history
         left, values = np.flatnonzero(own), np.zeros(len(c))
         if shards > 1:
-            left = left[shard_of((c[left - 1] - ONE).astype(np.uint32), shards) == shard]
+            left = left[shard_of(c[left - 2] - ONE, c[left - 1] - ONE, shards) == shard]
         mark = c[left] == ord(MARK) + 1
         runs, left = left[mark], left[~mark]
 
@@ -316,33 +326,50 @@ def log_likelihoods(table: Table, texts: list[str], lang: str, shard: int = 0, s
     return out
 
 
+def _sums(rows: DataFrame, model: Model, shard: int, shared: Broadcast) -> DataFrame:
+    """rows (with text and lang) with chars and total added: the sum of the log probabilities of a shard's characters."""
+    langs, shards = model.langs, len(model.shards)
+    schema = T.StructType([*rows.schema.fields, T.StructField("chars", T.IntegerType()), T.StructField("total", T.DoubleType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Small pieces: only some hundred texts are Python objects at a time.
+        for batch in (b.slice(at, PIECE_ROWS) for b in batches for at in range(0, b.num_rows, PIECE_ROWS)):
+            texts, tongues = (batch.column(batch.schema.get_field_index(n)) for n in ("text", "lang"))
+            by_lang: dict[str, list[int]] = {}
+            for i, (text, lang) in enumerate(zip(texts, tongues.to_pylist(), strict=True)):
+                if lang in langs and text.as_py():
+                    by_lang.setdefault(lang, []).append(i)
+            new, chars = [None] * batch.num_rows, [0] * batch.num_rows
+            for lang, own in by_lang.items():
+                seen = [marked(texts[i].as_py()) for i in own]
+                for i, text, sum_of in zip(own, seen, log_likelihoods(shared.value.table(), seen, lang, shard, shards).tolist(), strict=True):
+                    new[i], chars[i] = sum_of, len(text)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(chars, pa.int32()), pa.array(new, pa.float64())], names=[*batch.schema.names, "chars", "total"])
+
+    return rows.mapInArrow(run, schema)
+
+
 def score(rows: DataFrame, model: Model) -> DataFrame:
     """rows (with text and lang) with nll added: the mean negative log probability of a character, null for empty texts and for
     languages without trusted text.
 
-    With more than one shard each is a further step over the same rows, none of which needs a shuffle.
+    A model of one shard is broadcast, and rows are scored as they pass. A larger one is scored one shard after the other: rows
+    are written once with a number, each shard's sums are a table by that number, and its broadcast goes before the next
+    one comes, so neither the driver nor a task ever holds more than one shard.
     """
-    langs, shards = model.langs, len(model.shards)
-    scored = rows.withColumn("chars", F.lit(0)).withColumn("total", F.lit(0.0))
-    schema = T.StructType([T.StructField(f.name, f.dataType) for f in scored.schema])
-    for shard, shared in enumerate(model.shards):
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared, shard=shard) -> Iterator[pa.RecordBatch]:
-            # Small pieces: only some hundred texts are Python objects at a time.
-            for batch in (b.slice(at, PIECE_ROWS) for b in batches for at in range(0, b.num_rows, PIECE_ROWS)):
-                texts, tongues, totals = (batch.column(batch.schema.get_field_index(n)) for n in ("text", "lang", "total"))
-                by_lang: dict[str, list[int]] = {}
-                for i, (text, lang) in enumerate(zip(texts, tongues.to_pylist(), strict=True)):
-                    if lang in langs and text.as_py():
-                        by_lang.setdefault(lang, []).append(i)
-                new, chars = [None] * batch.num_rows, [0] * batch.num_rows
-                for lang, own in by_lang.items():
-                    seen = [marked(texts[i].as_py()) for i in own]
-                    for i, text, sum_of in zip(own, seen, log_likelihoods(shared.value.table(), seen, lang, shard, shards).tolist(), strict=True):
-                        new[i], chars[i] = (totals[i].as_py() or 0.0) + sum_of, len(text)
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(chars, pa.int32()), pa.array(new, pa.float64())], names=batch.schema.names)
-
-        scored = scored.mapInArrow(run, schema)
+    if len(model.shards) == 1:
+        scored = _sums(rows, model, 0, model.share(0))
+    else:
+        numbered = materialize(rows.withColumn("row_number", F.monotonically_increasing_id()), "numbered-rows")
+        parts = []
+        for shard in model.shards:
+            shared = model.share(shard)
+            parts.append(materialize(_sums(numbered.select("row_number", "text", "lang"), model, shard, shared).select("row_number", "chars", "total"), "shard-sums"))
+            shared.destroy()
+        sums = parts[0]
+        for part in parts[1:]:
+            sums = sums.unionByName(part)
+        scored = numbered.join(sums.groupBy("row_number").agg(F.max("chars").alias("chars"), F.sum("total").alias("total")), "row_number")
     return scored.select(*rows.columns, F.try_divide(-F.col("total"), F.col("chars")).alias("nll"))
 
 
@@ -372,7 +399,9 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     limits = materialize(thresholds(score(trusted.where("held_out").select("lang", "text"), model)), "quality-thresholds")
     drop_tables(trusted)
     rows = docs.select(F.struct("*").alias("row"), F.col(text_col).cast("string").alias("text"), F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"))
-    scored = score(rows, model).withColumn("band", band(F.col("text"))).drop("text")
+    scored = score(rows, model)
+    drop_tables(model.entries)
+    scored = scored.withColumn("band", band(F.col("text"))).drop("text")
     own = limits.where("band >= 0").withColumnRenamed("threshold", "own")
     every = limits.where("band = -1").select("lang", F.col("threshold").alias("every"))
     scored = scored.join(every, "lang", "left").join(own, ["lang", "band"], "left").withColumn("threshold", F.coalesce("own", "every"))
