@@ -283,7 +283,7 @@ def test_policy(spark):
     rules = [policy.Rule("base", attr("x") > 0, "allow", {"text": "{x} of {id}"}), policy.Rule("big", attr("x") > 10, "stop", priority="HIGH", overrides=("base",)), policy.Rule("huge", attr("x") > 100, "note", strict=True), policy.Rule("free", attr("s") == "O", "tag")]
     hits = policy.matched(view, rules)
     assert hits.count() == 8
-    assert hits.where("entity = 1 and rule = 'base'").first().arguments == {"text": "5.0 of 1"}
+    assert hits.where("entity = 1 and rule = 'base'").first().arguments == {"text": "5 of 1"}
     left = {(r.entity, r.rule) for r in policy.resolve(hits, rules).collect()}
     assert left == {(1, "base"), (1, "free"), (2, "big"), (2, "free"), (3, "big"), (3, "huge")}
     with pytest.raises(ValueError, match="strict"):
