@@ -27,6 +27,8 @@ def shared_dir(spark: SparkSession) -> str:
     """
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("ruleweave.shared.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="ruleweave-")
         spark.conf.set("ruleweave.shared.dir", found)
     return found.rstrip("/")
