@@ -39,4 +39,4 @@ def test_judgements(spark):
     view = EntityView(spark.createDataFrame([(1, 5.0), (2, 50.0), (3, None)], "id long, x double"), "id")
     rules = [policy.Judgement("a", attr("x") > 1, "requires", "x is {x}"), policy.Judgement("b", attr("x") > 10, "block", "too much"), policy.Judgement("c", attr("x") > 20, "block", "far too much")]
     got = {r.entity: (r.decision, r.reasons) for r in policy.judge(view, rules).collect()}
-    assert got == {1: ("requires", ["x is 5.0"]), 2: ("block", ["too much", "far too much"]), 3: ("allow", [])}
+    assert got == {1: ("requires", ["x is 5"]), 2: ("block", ["too much", "far too much"]), 3: ("allow", [])}
