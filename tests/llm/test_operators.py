@@ -139,6 +139,12 @@ def test_url_rules(spark, small):
     assert len(got) == len(pages) and all((r.host, r.path, r.rule, r.verdict) == plain_rule(u, url_filter.RULES) for u, r in zip(pages.sort_values("page_id").url, sorted(got, key=lambda r: r.page_id), strict=True))
 
 
+def test_url_rules_of_the_contract(spark):
+    urls = ["http://a.com/en/1", "http://example.com/en/71", "http://a.net/de/1", "http://example.net/de/81", "http://a.org/es/1", "http://a.org/en/1"]
+    got = url_filter.match_rules(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), url_filter.rule_table(spark), default="none").collect()
+    assert [r.verdict for r in sorted(got, key=lambda r: r.page_id)] == ["block", "allow", "allow", "block", "block", "none"]
+
+
 def test_url_rules_with_ties_and_without_rows(spark):
     urls = spark.createDataFrame([(1, "http://a.b.c/x/y"), (1, "http://a.b.c/x/y"), (None, None)], "page_id long, url string")
     rules = [("b.c", "/x/", "allow"), ("b.c", "/x/", "block"), ("A.B.c", "/x", "allow"), (None, "/x", "block"), ("c", None, "block")]
