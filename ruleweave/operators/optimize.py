@@ -7,6 +7,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -32,20 +33,23 @@ def pareto_front(df: DataFrame, id_col: str, objectives: dict[str, str], values:
     if len(objectives) == 2:
         return _front_of_two(rows).select("id")
 
-    def own(frames):
-        best: list[tuple] = []
-        for frame in frames:
-            for r in frame.itertuples(index=False):
-                x = tuple(r.x)
-                if any(_dominates(b[1], x) for b in best):
-                    continue
-                best = [b for b in best if not _dominates(x, b[1])]
-                best.append((r.id, x))
-        yield pd.DataFrame({"id": [b[0] for b in best], "x": [list(b[1]) for b in best]})
-
-    local = cut(rows.mapInPandas(own, rows.schema))
-    a, b = local, local.select(F.col("id").alias("j"), F.col("x").alias("y"))
     m = len(objectives)
+
+    def own(batches):
+        best, x = None, np.zeros((0, m))
+        for batch in batches:
+            y = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, m)
+            at = _undominated(y, x)
+            at = at[_first_front(y[at])]
+            old = _undominated(x, y[at])
+            new = pa.Table.from_batches([batch.take(pa.array(at))])
+            best = new if best is None else pa.concat_tables([best.take(pa.array(old)), new])
+            x = np.concatenate([x[old], y[at]])
+        if best is not None:
+            yield from best.to_batches()
+
+    local = cut(rows.mapInArrow(own, rows.schema))
+    a, b = local, local.select(F.col("id").alias("j"), F.col("x").alias("y"))
     worse = [F.col("y")[i] <= F.col("x")[i] for i in range(m)]
     better = [F.col("y")[i] < F.col("x")[i] for i in range(m)]
     rule = worse[0]
@@ -55,8 +59,22 @@ def pareto_front(df: DataFrame, id_col: str, objectives: dict[str, str], values:
     return a.join(b, rule & some, "left_anti").select("id")
 
 
-def _dominates(a: tuple, b: tuple) -> bool:
-    return all(p <= q for p, q in zip(a, b, strict=True)) and a != b
+def _undominated(x: np.ndarray, by: np.ndarray) -> np.ndarray:
+    """The places of the points x that none of the points `by` dominates."""
+    at = np.arange(len(x))
+    for b in by:
+        y = x[at]
+        at = at[~((b <= y).all(axis=1) & (b < y).any(axis=1))]
+    return at
+
+
+def _first_front(x: np.ndarray) -> np.ndarray:
+    """The places of the points that no other of x dominates; in their order a point stands behind all that dominate it."""
+    at, out = np.lexsort(x.T[::-1]), []
+    while len(at):
+        out.append(at[0])
+        at = at[1:][_undominated(x[at[1:]], x[at[:1]])]
+    return np.array(out, np.int64)
 
 
 def _front_of_two(rows: DataFrame) -> DataFrame:

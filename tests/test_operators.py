@@ -255,6 +255,12 @@ def test_pareto(spark, kinds):
     assert optimize.crowding(ranked, df, list(kinds)).where("crowding = double('inf')").count() >= 2
 
 
+def test_pareto_with_empty_tasks(spark):
+    df = spark.createDataFrame([(i, float(i), float(-i), 1.0) for i in range(5)] + [(9, 9.0, 9.0, 9.0)], "id long, a double, b double, c double")
+    spread = df.repartition(4).where("a < 9 or c > 5").union(df.where("id < 0"))
+    assert {r.id for r in optimize.pareto_front(spread, "id", {"a": "min", "b": "min", "c": "min"}).collect()} == set(range(5))
+
+
 def test_subsets(spark):
     rng = np.random.default_rng(2)
     rows = [(g, i, float(rng.integers(1, 50)), float(rng.integers(1, 50))) for g in range(3) for i in range(9)] + [(7, 1, 1.0, 1.0)]
