@@ -261,6 +261,12 @@ def test_pareto_with_empty_tasks(spark):
     assert {r.id for r in optimize.pareto_front(spread, "id", {"a": "min", "b": "min", "c": "min"}).collect()} == set(range(5))
 
 
+def test_related_ties_after_rounding(spark):
+    edges = [(1, 9, 1.0), (9, 1, 1.0), (1, 8, 1.0 - 1e-13), (8, 1, 1.0), (1, 7, 1.0 - 2e-13), (7, 1, 1.0)]
+    got = graph.related(spark.createDataFrame(edges, "src long, dst long, w double"), spark.createDataFrame([(1,)], "node long"), rounds=3, top=2, digits=9).collect()
+    assert [r.node for r in got] == [7, 8]
+
+
 def test_subsets(spark):
     rng = np.random.default_rng(2)
     rows = [(g, i, float(rng.integers(1, 50)), float(rng.integers(1, 50))) for g in range(3) for i in range(9)] + [(7, 1, 1.0, 1.0)]
