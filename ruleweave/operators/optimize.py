@@ -187,6 +187,48 @@ def _exchange(gain: np.ndarray, costs: list, k: int, seed: int, starts: int = 8)
     return best[2] if best[0] >= -1e-9 else None
 
 
+def _nearest(p: np.ndarray) -> np.ndarray:
+    """The tour that goes on to the nearest point left, of equally near ones to the first."""
+    left, tour = np.arange(1, len(p)), [0]
+    x, y = p[1:, 0].copy(), p[1:, 1].copy()
+    while len(left):
+        i = int(np.hypot(x - p[tour[-1], 0], y - p[tour[-1], 1]).argmin())
+        tour.append(int(left[i]))
+        left, x, y = np.delete(left, i), np.delete(x, i), np.delete(y, i)
+    return np.array(tour)
+
+
+def _reversals(p: np.ndarray, tour: np.ndarray) -> np.ndarray:
+    """A tour after reversing the first part that shortens it, again and again until none does.
+
+    All ends of a part are judged at once. Most are discarded by one coordinate, which bounds distances from below, so
+    memory grows with the points; the time of a round still grows with their square, by a few nanoseconds a pair.
+    """
+    n, far = len(tour), int(np.ptp(p, axis=0).argmax())
+    tour = np.append(tour, tour[0])
+    q = p[tour]
+    x, y, z = q[:, 0].copy(), q[:, 1].copy(), q[:, far].copy()
+    step = np.hypot(x[1:] - x[:-1], y[1:] - y[:-1])  # from each stop to the next
+    better = True
+    while better:
+        better = False
+        for i in range(1, n - 1):
+            j = i + 1
+            while j < n:
+                old = step[i - 1] + step[j:]
+                near = np.flatnonzero(np.abs(z[j:n] - z[i - 1]) + np.abs(z[j + 1 :] - z[i]) < old * (1 + 1e-9)) + j
+                new = np.hypot(x[near] - x[i - 1], y[near] - y[i - 1]) + np.hypot(x[near + 1] - x[i], y[near + 1] - y[i])
+                hit = near[new < old[near - j] - 1e-9]
+                if not len(hit):
+                    break
+                j = int(hit[0])
+                for a in (tour, x, y, z):
+                    a[i : j + 1] = a[i : j + 1][::-1].copy()
+                step[i - 1 : j + 1] = np.hypot(x[i : j + 2] - x[i - 1 : j + 1], y[i : j + 2] - y[i - 1 : j + 1])
+                better, j = True, j + 1
+    return tour[:n]
+
+
 def tours(df: DataFrame, group: str, id_col: str, x: str, y: str, exact: int = 8) -> DataFrame:
     """(group, stops array, length): for each group a short closed tour over its points, from the smallest id.
 
@@ -197,26 +239,12 @@ def tours(df: DataFrame, group: str, id_col: str, x: str, y: str, exact: int = 8
     def one(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("id")
         ids, p = frame["id"].tolist(), frame[["px", "py"]].to_numpy(float)
-        d = np.hypot(p[:, None, 0] - p[None, :, 0], p[:, None, 1] - p[None, :, 1])
         n = len(ids)
-        length = lambda t: float(sum(d[t[i], t[(i + 1) % n]] for i in range(n)))
+        length = lambda t: float(sum(np.hypot(*(p[list(t)] - p[[*t[1:], t[0]]]).T).tolist()))
         if n <= exact:
             best = min(((0, *rest) for rest in itertools.permutations(range(1, n))), key=lambda t: (round(length(t), 9), t))
         else:
-            left, tour = set(range(1, n)), [0]
-            while left:
-                tour.append(min(left, key=lambda j: (d[tour[-1], j], j)))
-                left.remove(tour[-1])
-            better = True
-            while better:
-                better = False
-                for i in range(1, n - 1):
-                    for j in range(i + 1, n):
-                        a, b, c, e = tour[i - 1], tour[i], tour[j], tour[(j + 1) % n]
-                        if d[a, c] + d[b, e] < d[a, b] + d[c, e] - 1e-9:
-                            tour[i : j + 1] = reversed(tour[i : j + 1])
-                            better = True
-            best = tuple(tour)
+            best = tuple(_reversals(p, _nearest(p)).tolist())
         return pd.DataFrame({"group": [frame["g"].iloc[0]], "stops": [[ids[i] for i in best]], "length": [length(best)]})
 
     kinds = df.schema

@@ -280,6 +280,19 @@ def test_subsets(spark):
     assert optimize.subsets(df, "g", "id", 3, ("max", "gain"), [("cost", "<=", 1.0)]).count() == 0
 
 
+def test_tours_of_many_points():
+    """A tour of some thousand points takes seconds, and no reversal of a part shortens it further."""
+    rng = np.random.default_rng(4)
+    p = np.stack([rng.random(2000) * 11000, np.arange(2000) * 40.0], 1)
+    t = optimize._reversals(p, optimize._nearest(p))
+    assert sorted(t) == list(range(2000))
+    q = p[np.append(t, t[0])]
+    step = np.hypot(*(q[1:] - q[:-1]).T)
+    for i in range(1, 1999):
+        new = np.hypot(*(q[i + 1 : 2000] - q[i - 1]).T) + np.hypot(*(q[i + 2 :] - q[i]).T)
+        assert (new >= step[i - 1] + step[i + 1 :] - 1e-8).all()
+
+
 def test_tours(spark):
     square = [(1, i, x, y) for i, (x, y) in enumerate([(0.0, 0.0), (10.0, 10.0), (0.0, 10.0), (10.0, 0.0)])]
     circle = [(2, i, math.cos(i * 2.4) * 10, math.sin(i * 2.4) * 10) for i in range(13)]
