@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import math
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -15,6 +16,11 @@ from pyspark.sql import functions as F
 from ruleweave.operators.aggregates import number
 from ruleweave.operators.recursion import cut
 
+#: Subsets of a group up to which all are tried in whole arrays; above it they are branched over.
+MANY = 50_000
+#: Cells of an array in which groups of one size are solved together.
+CELLS = 2_000_000
+
 
 def _numeric(df: DataFrame, id_col: str, objectives: dict[str, str]) -> DataFrame:
     """(id, x array): the objectives as numbers to make small; rows with a missing one are left out."""
@@ -120,23 +126,80 @@ def subsets(df: DataFrame, group: str, id_col: str, k: int, objective: tuple[str
     """(group, ids, total): for each group the k rows with the best total of the objective (min or max, name) whose totals keep
     the limits (name, <= or >=, value); groups without such a subset, or with fewer rows, are left out.
 
-    Exactly, by branch and bound (of equal subsets the first by objective and id), or by seeded exchange. Groups are
-    dealt over the cluster; one group's candidates are one problem and meet in one task.
+    Exactly, by all subsets or branch and bound (of equal subsets the first by objective and id), or by seeded exchange. Groups
+    are dealt over the cluster; one group's candidates are one problem and meet in one task, in batches of many groups.
     """
     how, name = objective
     sign = 1 if how == "max" else -1
     kind = df.schema
-
-    def one(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.assign(s=sign * frame["o"]).sort_values(["s", "id"], ascending=[False, True], kind="stable")
-        gain, ids = frame["s"].to_numpy(float), frame["id"].tolist()
-        costs = [(frame[f"c{i}"].to_numpy(float), op, limit) for i, (_, op, limit) in enumerate(limits)]
-        found = (_branch(gain, costs, k) if exact else _exchange(gain, costs, k, seed)) if len(ids) >= k else None
-        rows = [] if found is None else [(frame["g"].iloc[0], sorted(ids[i] for i in found), float(sign * gain[found].sum()))]
-        return pd.DataFrame(rows, columns=["group", "ids", "total"])
-
-    rows = df.select(F.col(group).alias("g"), F.col(id_col).alias("id"), number(name).alias("o"), *[number(c).alias(f"c{i}") for i, (c, _, _) in enumerate(limits)]).na.drop()
-    return rows.groupBy("g").applyInPandas(one, f"group {kind[group].dataType.simpleString()}, ids array<{kind[id_col].dataType.simpleString()}>, total double")
+    schema = f"group {kind[group].dataType.simpleString()}, ids array<{kind[id_col].dataType.simpleString()}>, total double"
+
+    def solve(frame: pd.DataFrame) -> list[pd.DataFrame]:
+        """The subsets of whole groups whose rows follow one another; groups of one size are solved together."""
+        g, ids, gain = frame["g"].to_numpy(), frame["id"].to_numpy(), frame["s"].to_numpy(float)
+        cost = [frame[f"c{i}"].to_numpy(float) for i in range(len(limits))]
+        starts = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
+        sizes = np.diff(np.append(starts, len(g)))
+        parts: list[pd.DataFrame] = []
+        for n in np.unique(sizes[sizes >= k]).tolist():
+            whole = exact and math.comb(n, k) > MANY
+            room = 1 if whole else max(1, CELLS // (math.comb(n, k) if exact else k * k * max(1, n - k)))
+            for at in np.array_split(own := starts[sizes == n], -(-len(own) // room)):
+                rows = at[:, None] + np.arange(n)
+                costs = [(c[rows], op, limit) for c, (_, op, limit) in zip(cost, limits, strict=True)]
+                if whole:
+                    best = _branch(gain[rows[0]], [(c[0], op, limit) for c, op, limit in costs], k)
+                    found, ok = np.array([best or range(k)]), np.array([best is not None])
+                else:
+                    found, ok = _every(gain[rows], costs, k) if exact else _exchange(gain[rows], costs, k, seed)
+                chosen = np.take_along_axis(rows, found, axis=1)[ok]
+                if ok.any():  # a frame without rows has no kind of list
+                    parts.append(pd.DataFrame({"group": g[at[ok]], "ids": [sorted(x) for x in ids[chosen].tolist()], "total": sign * gain[chosen].sum(axis=1)}))
+        return parts
+
+    def run(frames):
+        held: list[pd.DataFrame] = []  # rows of the last group so far
+        for frame in frames:
+            if not len(frame):
+                continue
+            g = frame["g"].to_numpy()
+            if held and held[-1]["g"].iloc[-1] != g[0]:
+                yield from solve(pd.concat(held))
+                held = []
+            last = int((g != g[-1]).sum())
+            if last:
+                yield from solve(pd.concat([*held, frame.iloc[:last]]))
+                held = []
+            held.append(frame.iloc[last:])
+        if held:
+            yield from solve(pd.concat(held))
+
+    rows = df.select(F.col(group).alias("g"), F.col(id_col).alias("id"), (sign * number(name)).alias("s"), *[number(c).alias(f"c{i}") for i, (c, _, _) in enumerate(limits)]).na.drop()
+    return rows.repartition("g").sortWithinPartitions("g", F.desc("s"), "id").mapInPandas(run, schema)
+
+
+def _every(gain: np.ndarray, costs: list, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each group (a row of gain and of every cost) the best of all its subsets, and whether it keeps the limits."""
+    sets = _combinations(gain.shape[1], k)
+    totals, broken = _sums(gain, sets), np.zeros((len(gain), len(sets)))
+    for c, op, limit in costs:
+        s = _sums(c, sets)
+        broken += np.maximum(0.0, s - limit if op == "<=" else limit - s)
+    totals[broken > 1e-9] = -math.inf
+    most = totals.max(axis=1)
+    return sets[(totals >= most[:, None] - 1e-9).argmax(axis=1)], most > -math.inf
+
+
+@lru_cache(maxsize=64)
+def _combinations(n: int, k: int) -> np.ndarray:
+    return np.array(list(itertools.combinations(range(n), k)), np.int64).reshape(-1, k)
+
+
+def _sums(x: np.ndarray, sets: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(x), len(sets)))
+    for i in range(sets.shape[1]):
+        out += x[:, sets[:, i]]
+    return out
 
 
 def _broken(costs: list, chosen: list[int]) -> float:
@@ -160,6 +223,15 @@ def _branch(gain: np.ndarray, costs: list, k: int) -> list[int] | None:
             if total > best[0] + 1e-9 and _broken(costs, chosen) <= 1e-9:
                 best = [total, chosen]
             continue
+        if need == 1:  # the rows stand in the order of their gain: the first that keeps the limits is the best
+            over = np.zeros(len(gain) - i)
+            for c, op, limit in costs:
+                t = (c[chosen].sum() if chosen else 0.0) + c[i:]
+                over += np.maximum(0.0, t - limit if op == "<=" else limit - t)
+            fit = np.flatnonzero(over <= 1e-9)
+            if len(fit) and total + gain[i + fit[0]] > best[0] + 1e-9:
+                best = [total + gain[i + fit[0]], [*chosen, i + int(fit[0])]]
+            continue
         if len(gain) - i < need or total + upto[i + need] - upto[i] <= best[0] + 1e-9:
             continue
         sums = [c[chosen].sum() if chosen else 0.0 for c, _, _ in costs]
@@ -170,21 +242,44 @@ def _branch(gain: np.ndarray, costs: list, k: int) -> list[int] | None:
     return best[1]
 
 
-def _exchange(gain: np.ndarray, costs: list, k: int, seed: int, starts: int = 8) -> list[int] | None:
-    """From several random subsets, the best exchange of one row again and again until none helps."""
-    rng, best = np.random.default_rng(seed), (-math.inf, -math.inf, None)
+def _exchange(gain: np.ndarray, costs: list, k: int, seed: int, starts: int = 8) -> tuple[np.ndarray, np.ndarray]:
+    """For each group (a row of gain and of every cost): from several random subsets, the best exchange of one row again and
+    again until none helps; and whether the best found keeps the limits. Groups of one size have the same starts."""
+    many, n = gain.shape
+    rng = np.random.default_rng(seed)
+
+    def judge(at: np.ndarray, sets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """By how much the sets keep the limits (0 at most), and what they gain; the sets of a row are those of group at."""
+        where = at.reshape(-1, *[1] * (sets.ndim - 1))
+        broken = np.zeros(sets.shape[:-1])
+        for c, op, limit in costs:
+            s = c[where, sets].sum(axis=-1)
+            broken += np.maximum(0.0, s - limit if op == "<=" else limit - s)
+        return -broken, gain[where, sets].sum(axis=-1)
+
+    best, kept, most = np.zeros((many, k), np.int64), np.full(many, -math.inf), np.full(many, -math.inf)
     for _ in range(starts):
-        chosen = rng.permutation(len(gain))[:k].tolist()
-        now = (-_broken(costs, chosen), gain[chosen].sum())
-        while True:
-            others = [[*chosen[:a], j, *chosen[a + 1 :]] for a in range(k) for j in range(len(gain)) if j not in chosen]
-            new = max(((-_broken(costs, o), gain[o].sum(), o) for o in others), key=lambda t: t[:2], default=(*now, chosen))
-            if new[:2] <= now:
-                break
-            now, chosen = new[:2], new[2]
-        if now > best[:2]:
-            best = (*now, chosen)
-    return best[2] if best[0] >= -1e-9 else None
+        chosen = np.tile(rng.permutation(n)[:k], (many, 1))
+        fit, total = judge(np.arange(many), chosen)
+        at = np.arange(many if n > k else 0)
+        while len(at):
+            free = np.ones((len(at), n), bool)
+            np.put_along_axis(free, chosen[at], False, axis=1)
+            rest = np.nonzero(free)[1].reshape(len(at), n - k)
+            others = np.repeat(chosen[at][:, None, :], k * (n - k), axis=1)
+            for i in range(k):
+                others[:, i * (n - k) : (i + 1) * (n - k), i] = rest
+            f, t = judge(at, others)
+            t = np.where(f == f.max(axis=1, keepdims=True), t, -math.inf)
+            pick = t.argmax(axis=1)
+            line = np.arange(len(at))
+            f, t = f[line, pick], t[line, pick]
+            better = (f > fit[at]) | ((f == fit[at]) & (t > total[at]))
+            at, f, t, others = at[better], f[better], t[better], others[line, pick][better]
+            chosen[at], fit[at], total[at] = others, f, t
+        new = (fit > kept) | ((fit == kept) & (total > most))
+        best[new], kept[new], most[new] = chosen[new], fit[new], total[new]
+    return best, kept >= -1e-9
 
 
 def _nearest(p: np.ndarray) -> np.ndarray:

@@ -280,6 +280,25 @@ def test_subsets(spark):
     assert optimize.subsets(df, "g", "id", 3, ("max", "gain"), [("cost", "<=", 1.0)]).count() == 0
 
 
+def test_subsets_of_many_groups(spark):
+    """Groups that batches part, groups of one size together, above the number of subsets that are all tried, without a subset."""
+    rng = np.random.default_rng(3)
+    frames = [pd.DataFrame({"g": g, "id": range(n), "gain": rng.integers(1, 99, n) / 4}) for g, n in enumerate([*rng.integers(1, 12, 300), 90])]
+    rows = pd.concat(frames)
+    df = spark.createDataFrame(rows)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = {exact: optimize.subsets(df, "g", "id", 3, ("max", "gain"), [("gain", "<=", 30.0)], exact=exact).collect() for exact in (True, False)}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = {}
+    for g, part in rows.groupby("g"):
+        own = part["gain"].tolist()
+        want[g] = max((t for c in itertools.combinations(own, 3) if (t := sum(c)) <= 30), default=None)
+    assert {r.group: r.total for r in got[True]} == {g: t for g, t in want.items() if t is not None}
+    assert all(r.total <= want[r.group] and len(set(r.ids)) == 3 for r in got[False]) and len(got[False]) > 200
+
+
 def test_tours_of_many_points():
     """A tour of some thousand points takes seconds, and no reversal of a part shortens it further."""
     rng = np.random.default_rng(4)
