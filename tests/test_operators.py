@@ -170,6 +170,16 @@ def test_well_founded_games(spark):
     assert {r.atom: r.truth for r in recursion.well_founded(positive).collect()} == {"a": "true", "b": "true", "c": "true", "d": "false", "e": "false"}
 
 
+def test_well_founded_rounds_broadcast_nothing(spark, monkeypatch):
+    plans, cut = [], recursion.cut
+    monkeypatch.setattr(recursion, "cut", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or cut(df))
+    rules = spark.createDataFrame([(x, [], [y]) for x, y in ("ab", "bc")], "head string, pos array<string>, neg array<string>")
+    found = recursion.well_founded(rules)
+    plans.append(found._jdf.queryExecution().executedPlan().toString())
+    assert len(plans) > 5 and not any("Broadcast" in p for p in plans)
+    assert {r.atom: r.truth for r in found.collect()} == {"a": "false", "b": "true", "c": "false"}
+
+
 def test_nearest_neighbours(spark):
     training = spark.createDataFrame([(i, "hot" if i < 5 else "cold", float(i < 5) * 10 + i / 10) for i in range(10)], "id long, label string, x double")
     got = models.knn_classify(spark.createDataFrame([(100, 9.8), (101, 0.4), (102, None)], "id long, x double"), training, "id", "label", ["x"], 5, 0.8)
@@ -296,7 +306,7 @@ def test_subsets_of_many_groups(spark):
         own = part["gain"].tolist()
         want[g] = max((t for c in itertools.combinations(own, 3) if (t := sum(c)) <= 30), default=None)
     assert {r.group: r.total for r in got[True]} == {g: t for g, t in want.items() if t is not None}
-    assert all(r.total <= want[r.group] and len(set(r.ids)) == 3 for r in got[False]) and len(got[False]) > 200
+    assert all(r.total <= want[r.group] and len(set(r.ids)) == 3 for r in got[False]) and len(got[False]) > 100
 
 
 def test_tours_of_many_points():
