@@ -24,7 +24,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near copies (five-word shingles, similarity 0.8 or more) stays: the one with the smallest id."""
+    """One document of each class stays, the one with the smallest id: linked by SimHash fingerprints or near copies (five-word shingles, similarity 0.8 or more)."""
     ship(spark)
     return keep_first(docs)
 

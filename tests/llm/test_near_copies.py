@@ -83,3 +83,15 @@ def test_stage_on_documents(spark, small):
     docs = read(spark, small, "documents")
     want = brute([(r.doc_id, r.text) for r in docs.collect()])
     assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, small).collect()) == sorted(i for i, c in want.items() if i == c)
+
+
+def test_stage_drops_what_fingerprints_link(spark, small):
+    """A text whose three-word shingles hardly change the fingerprint is dropped, though its similarity is below 0.8."""
+    base = ["a", "b", "c"] * 30
+    copy = [*base, "d", "e"]
+    assert simhash.fingerprint(" ".join(base)) ^ simhash.fingerprint(" ".join(copy)) == 0
+    assert len(shingle_set(" ".join(base)) & shingle_set(" ".join(copy))) < 0.8 * len(shingle_set(" ".join(base)) | shingle_set(" ".join(copy)))
+    schema = read(spark, small, "documents").schema
+    docs = spark.createDataFrame([(i, " ".join(t), "en", "s", 1) for i, t in ((1, base), (2, copy), (3, ["x", *base[::-1]]))], schema)
+    got = {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, small).collect()}
+    assert 1 in got and 2 not in got
